@@ -1,9 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from foliant.llm import bpe
+from foliant.llm import bpe, decontam, langid, pii, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op5_language_id": langid.op5_language_id,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_pii": pii.op9_pii,
+    "op10_decontamination": decontam.op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
