@@ -94,7 +94,7 @@ def _merged(templates: DataFrame, level: int) -> DataFrame:
     both = sums.where((F.size("final") > level) & ~F.get("final", F.lit(level)).startswith("<")).join(pools, "pool")
     p = F.col("bad") / F.col("all")
     far = F.abs(F.col("blocked") - F.col("labelled") * p) / F.sqrt(F.col("labelled") * p * (1 - p) + 0.25)
-    alike = F.when(F.col("labelled") > 0, far <= Z).otherwise((F.col("branches") >= LEAST_BRANCHES) & ((p > 0.95) | (p < 0.05)))
+    alike = F.when(F.col("labelled") > 0, (F.col("branches") > 1) & (far <= Z)).otherwise((F.col("branches") >= LEAST_BRANCHES) & ((p > 0.95) | (p < 0.05)))
     like = both.where(alike).select("host", "final", F.lit(True).alias("alike"))
     return templates.join(like, ["host", "final"], "left").withColumn("final", F.when(F.col("alike"), _replaced(F.col("final"), level, "*")).otherwise(F.col("final"))).drop("alike")
 
