@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bits of the filter that tells which terms may be looked up; its size doesn't depend on the corpus.
+BITS = 1 << 23
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir`` that driver and executors share.
@@ -61,6 +66,22 @@ def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def filter_bits(terms: DataFrame) -> np.ndarray:
+    """A bit for the crc32 of each term: BITS / 64 numbers at most, whatever the number of terms."""
+    at = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BITS))
+    rows = terms.select(F.shiftright(at, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(crc32(cast(term as binary)) % 64 as int))").alias("bit"))
+    bits = np.zeros(BITS // 64, np.int64)
+    found = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return bits
+
+
+def maybe_in(bits: bytes, term: str) -> bool:
+    """Whether the term may be one of those that the filter was made of."""
+    h = zlib.crc32(term.encode("utf-8", "surrogatepass")) % BITS
+    return bits[h >> 3] >> (h & 7) & 1
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (u, v): component is the smallest node reached.
 

@@ -23,12 +23,11 @@ import hashlib
 import re
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpoint, map_arrow, table
+from foliant.llm.common import checkpoint, filter_bits, map_arrow, maybe_in, table
 
 KINDS = ("email", "ip", "card", "phone", "card_part", "phone_part", "term", "revealing")
 BASE = KINDS[:4]
@@ -36,8 +35,6 @@ WINDOW = 5
 MIN_CONTEXTS = 3
 GENERALISE = 0.8
 REMOVE = 0.999
-#: Bits of the filter that tells which words may be looked up; its size doesn't depend on the corpus.
-BITS = 1 << 23
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -154,21 +151,6 @@ def contexts(text: str | None) -> list[tuple[str, str, int]]:
     return sorted(out)
 
 
-def filter_bits(terms: DataFrame) -> np.ndarray:
-    """A bit for the crc32 of each term: BITS / 64 numbers at most, whatever the number of terms."""
-    at = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BITS))
-    rows = terms.select(F.shiftright(at, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(crc32(cast(term as binary)) % 64 as int))").alias("bit"))
-    bits = np.zeros(BITS // 64, np.int64)
-    found = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    return bits
-
-
-def _may(bits: bytes, term: str) -> bool:
-    h = zlib.crc32(term.encode("utf-8", "surrogatepass")) % BITS
-    return bits[h >> 3] >> (h & 7) & 1
-
-
 def disclosing_terms(rows: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = MIN_CONTEXTS) -> DataFrame | None:
     """(term, revealing) of the terms that disclose an entity, from all of ``rows`` (id, text); None if there is none.
 
@@ -197,7 +179,7 @@ def disclosing_terms(rows: DataFrame, generalise: float = GENERALISE, remove: fl
         bits, counts = sent.value, {}
         for text in batch.column("text").to_pylist():
             for w in set(WORD.findall(text.lower())) if text else ():
-                if _may(bits, w):
+                if maybe_in(bits, w):
                     counts[w] = counts.get(w, 0) + 1
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
@@ -220,7 +202,7 @@ def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
             for m in WORD.finditer(text) if text else ():
                 w = m[0].lower()
                 if w not in known:
-                    known[w] = bool(_may(bits, w))
+                    known[w] = bool(maybe_in(bits, w))
                 if known[w]:
                     at.append(k)
                     out.append((w, m.start(), m.end()))
