@@ -22,7 +22,7 @@ def pages(spark):
 
 def test_records_and_revisits(spark):
     got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(warc.write(pages(spark))).collect()), key=str)
-    assert got == sorted([(3, 150, "revisit", 2), (2, 150, "response", None), (2, 150, "response", None), (9, 150, "revisit", 2), (4, 100, "response", None), (5, 100, "revisit", 4), (6, 5, "response", None), (7, 5, "response", None), (8, 0, "response", None), (None, 150, "revisit", 2), (10, 420_000 + 60_000, "response", None)], key=str) or got[0][1] > 0
+    assert got == sorted([(3, 150, "revisit", 2), (2, 150, "response", None), (2, 150, "response", None), (9, 150, "revisit", 2), (4, 100, "response", None), (5, 100, "revisit", 4), (6, 5, "response", None), (7, 5, "response", None), (8, 0, "response", None), (None, 150, "revisit", 2), (10, 450_000, "response", None)], key=str)
 
 
 def test_seek_and_round_trip(spark, tmp_path, monkeypatch):
