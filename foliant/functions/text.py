@@ -170,7 +170,8 @@ def limit_summary(c: Column, most: int) -> Column:
 def confidence(c: Column) -> Column:
     """Words or numbers as a number from 0 to 1; 0.8 for what is neither."""
     word = F.coalesce(*[F.when(F.lower(strip(c)) == k, F.lit(v)) for k, v in CONFIDENCE.items()])
-    return F.coalesce(word, F.least(F.greatest(c.try_cast("double"), F.lit(0.0)), F.lit(1.0)), F.lit(0.8))
+    number = c.try_cast("double")
+    return F.coalesce(word, F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0))), F.lit(0.8))
 
 
 def weight_text(c: Column) -> Column:

@@ -92,7 +92,7 @@ def template_ids(df: DataFrame, key: str = "doc_id", order: str = "ord") -> Data
     """Adds type_id, numbered per type over non-empty templates, and template_id, numbered over all; empty ones go."""
     rows = df.withColumn("template_id", F.format_string("tpl-%03d", F.row_number().over(Window.partitionBy(key).orderBy(order)))).where(F.col("markdown").rlike(r"(?U)\S"))
     number = F.row_number().over(Window.partitionBy(key, "type").orderBy(order))
-    return rows.withColumn("type_id", F.concat("type", F.lit("-"), F.lpad(number.cast("string"), 3, "0")))
+    return rows.withColumn("type_id", F.format_string("%s-%03d", F.col("type"), number))
 
 
 def call_log(df: DataFrame, key: str = "call_key", order: str = "ord") -> DataFrame:

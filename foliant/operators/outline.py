@@ -87,8 +87,8 @@ def anchors(nodes: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFra
     moves on to the next text block before the next node's block, one that has the title first."""
     matched = block_of_title(nodes, blocks, key).withColumnRenamed("block_index", "by_title")
     rows = nodes.join(matched, [key, "ord"], "left")
-    at = blocks.select(key, F.col("block_index").alias("own"), F.col("block_type").alias("own_type"))
-    rows = rows.join(at, (rows[key] == at[key]) & (rows["block_start"] == at["own"]), "left").drop(at[key])
+    at = blocks.select(F.col(key).alias("_key"), F.col("block_index").alias("own"), F.col("block_type").alias("own_type"))
+    rows = rows.join(at, (F.col(key) == F.col("_key")) & (F.col("block_start") == F.col("own")), "left").drop("_key")
     rows = rows.withColumn("at", F.coalesce("own", "by_title"))
     rows = rows.withColumn("until", F.lead("at").over(Window.partitionBy(key).orderBy("ord")))
     texts = blocks.where(F.col("block_type").isin("paragraph", "heading")).select(F.col(key).alias("k2"), F.col("block_index").alias("next"), t.normalize_title(F.col("text")).alias("bt"))
