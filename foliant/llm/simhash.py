@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpoint, connected_components, map_arrow, table
+from foliant.llm.common import checkpoint, connected_components, free_name, map_arrow, table
 
 SEED = 42
 #: Fingerprints in a tile at most.
@@ -160,15 +160,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     to meet the keys that stay, which no two components share.
     """
     names = df.columns
+    fp, key = free_name(df, "_fp"), free_name(df, "_key")
     ids = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = checkpoint(with_fingerprint(ids, "text", "fp", shingle).select("id", "fp").groupBy("fp").agg(F.min("id").alias("id")))
     found = components(rows, radius)
     best = rows.join(found, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    stay = checkpoint(best.groupBy("component_fp").agg(F.min("fp").alias("_fp")).join(found.select("component_fp", "component_id").distinct(), "component_fp").select("_fp", F.col("component_id").alias("_keep")))
-    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    full = with_fingerprint(df, text_col, "_fp", shingle).withColumn("_key", key(id_col))
-    left = full.join(stay.select("_fp", key("_keep").alias("_key")), ["_fp", "_key"], "left_semi")
-    return left.dropDuplicates(["_fp", "_key"]).select(*names)
+    stay = checkpoint(best.groupBy("component_fp").agg(F.min("fp").alias(fp)).join(found.select("component_fp", "component_id").distinct(), "component_fp").select(fp, F.col("component_id").alias("keep")))
+    text_of = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    full = with_fingerprint(df, text_col, fp, shingle).withColumn(key, text_of(id_col))
+    left = full.join(stay.select(fp, text_of("keep").alias(key)), [fp, key], "left_semi")
+    return left.dropDuplicates([fp, key]).select(*names)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,10 @@ def test_like_a_plain_version(spark):
 
 
 def test_stages(spark):
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "the cat and the dog", "en", "s", 19)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "7 extra")
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "the cat and the dog", "en", "s", 19)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "7 extra", "8 _fp", "9 _key", "1.5 _score", "'x' _lang_pred", "'y' terms")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns, name
+        assert all(r["_fp"] == 8 and r["_key"] == 9 and r["_lang_pred"] == "x" for r in out.collect()), name
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
     assert simhash.keep_one(docs).count() == 2
