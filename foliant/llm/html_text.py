@@ -33,10 +33,12 @@ APART = frozenset("nav footer aside form script style noscript template button s
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of classes and ids that name such blocks; a name's words are cut at -, _ and capitals.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner sidebar sidebars aside rail menu menus nav navbar navigation navigations topnav subnav breadcrumb breadcrumbs pagination pager footer footers masthead cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond responses toolbar search skip copyright".split()
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner sidebar sidebars aside rail menu menus nav navbar navigation navigations topnav subnav breadcrumb breadcrumbs pagination pager footer footers masthead cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist commentary discussion disqus adbox adslot adunit adcontainer adwrapper adbanner skyscraper reply replies respond responses toolbar search skip copyright".split()
 )
 #: With such a word, a name says what a block has or lacks, not what it is.
 DENIES = frozenset("has with no without".split())
+#: With such a word, a header is a text's, not the page's.
+TITLED = frozenset("article post entry content story section has with no without".split())
 #: Articles that are no content.
 ASIDE_ARTICLE = frozenset("comment comments reply ad advert sponsored related".split())
 #: Elements that hold the page itself, whatever they are called.
@@ -69,7 +71,9 @@ def set_apart(tag: str, attrs: list[tuple[str, str | None]], inside_article: boo
         if key == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
         if key in ("class", "id") and value and tag not in HEADINGS:
-            words = [w.lower() for w in NAME_WORD.findall(value)]
+            words = [w.lower() for w in NAME_WORD.findall(value)] + ["".join(NAME_WORD.findall(w)).lower() for w in value.split()]
+            if "header" in words and not inside_article and tag not in WHOLE and not any(w in TITLED for w in words):
+                return True
             names = ASIDE_ARTICLE if tag == "article" else () if tag in WHOLE else NAMES
             if any(w in names for w in words) and not any(w in DENIES for w in words):
                 return True
@@ -172,11 +176,13 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.5) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def region(blocks: list[Block], tag_of: dict[int, str]) -> int:
-    """The number of the element that holds the page's content; 0 is the page."""
+def region(blocks: list[Block], tag_of: dict[int, str]) -> tuple[int, int, int]:
+    """The number of the element that holds the page's content (0 is the page), and the first and last block above the threshold."""
     ratios = np.array([0.0 if b.apart else max(0, b.chars - 2 * b.linked) / b.tags for b in blocks])
     smooth = smoothed(ratios)
     dense = (smooth >= smooth.mean() - 0.5 * smooth.std()) & (ratios > 0)
+    above_at = np.nonzero(dense)[0].tolist() or [0]
+    ends = above_at[0], above_at[-1]
     weight: dict[int, int] = {}
     total = 0
     for b, above in zip(blocks, dense.tolist(), strict=True):
@@ -184,13 +190,26 @@ def region(blocks: list[Block], tag_of: dict[int, str]) -> int:
             total += b.chars
             for i in b.path:
                 weight[i] = weight.get(i, 0) + b.chars
-    articles = [i for i in weight if tag_of[i] in ("article", "main")]
+    is_article = lambda i: tag_of[i] in ("article", "main")
+    articles = [i for i in weight if is_article(i)]
     if articles and max(weight[i] for i in articles) >= 0.3 * total:
-        # several articles beside each other are one region: the smallest element that holds nearly all of their text
-        text = sum(b.chars for b, above in zip(blocks, dense.tolist(), strict=True) if above and any(tag_of[i] in ("article", "main") for i in b.path))
-        return max((i for i in weight if tag_of[i] in ("article", "main") and weight[i] >= 0.95 * text), default=max((i for i in weight if weight[i] >= 0.95 * text and weight[i] <= text + 1), default=max(articles, key=lambda i: (weight[i], -i))))
-    # the innermost element with nearly all the dense text: beyond it, only more of the page's frame
-    return max((i for i in weight if weight[i] >= 0.9 * total and tag_of[i] not in HEADINGS and tag_of[i] not in ("p", "li", "td", "pre", "blockquote")), default=0)
+        # articles beside each other are one region: the innermost element that holds nearly all of their text
+        text = sum(b.chars for b, above in zip(blocks, dense.tolist(), strict=True) if above and any(map(is_article, b.path)))
+        one = [i for i in articles if weight[i] >= 0.95 * text]
+        return (max(one) if one else max(i for i in weight if weight[i] >= 0.95 * text), *ends)
+    # the innermost element with nearly all the dense text: beyond it, only more of the page's frame, but for a title that stands before
+    inside = max((i for i in weight if weight[i] >= 0.9 * total and tag_of[i] not in HEADINGS and tag_of[i] not in ("p", "li", "td", "pre", "blockquote")), default=0)
+    own = [k for k, b in enumerate(blocks) if inside in b.path]
+    for k, b in enumerate(blocks):
+        if tag_of[b.path[-1]] == "h1" and not b.apart and own and k < own[0] and k < ends[1]:
+            inside = max(set(b.path) & set(blocks[own[0]].path))
+            break
+    return (inside, *ends)
+
+
+def is_menu(b: Block, tag_of: dict[int, str]) -> bool:
+    """Before the first or behind the last cluster, a block that is nothing but links, and no heading."""
+    return b.linked >= 0.9 * b.chars and tag_of[b.path[-1]] not in HEADINGS
 
 
 def main_text(html: str | None) -> str:
@@ -203,8 +222,9 @@ def main_text(html: str | None) -> str:
     blocks = [b for b in reader.blocks if not all(not t.strip() for t in b.text)]
     if not any(not b.apart for b in blocks):
         return ""
-    inside = region(blocks, reader.tag_of)
-    lines = (SPACE.sub(" ", "".join(b.text)).strip() for b in blocks if not b.apart and inside in b.path)
+    inside, first, last = region(blocks, reader.tag_of)
+    kept = [b for k, b in enumerate(blocks) if not b.apart and inside in b.path and (first <= k <= last or not is_menu(b, reader.tag_of))]
+    lines = (SPACE.sub(" ", "".join(b.text)).strip() for b in kept)
     return "\n".join(x for x in lines if x)
 
 

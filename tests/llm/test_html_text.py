@@ -38,6 +38,14 @@ def test_frame_goes_and_content_stays():
     assert main_text(page).split("\n") == ["Title", "By A. Uthor", line]
 
 
+def test_pages_without_names_for_things():
+    line = LONG.strip()
+    page = f"<body><div><a href=/>Home</a> <a href=/b>About</a></div><div><h1>Title</h1><div><p>{LONG}</p><p>Short</p><p>{LONG}</p></div></div><div class='side-bar'>{LONG}</div><div class=header>Logo</div></body>"
+    assert main_text(page).split("\n") == ["Title", line, "Short", line]
+    page = f"<body><ul><li><a href=/>Home</a><li><a href=/b>About</a></ul><h1>Title</h1><p>{LONG}</p><p><a href=x>all link</a></p><p>{LONG}</p><p><a href=y>next page</a></p></body>"
+    assert main_text(page).split("\n") == ["Title", line, "all link", line]
+
+
 @pytest.mark.parametrize("page", [None, "", "<nav>x</nav>", "<script>", "<!-- -->", "<p>", "</p></div></b>", "<a <b <c", "&#0;&bogus;", "<" * 500])
 def test_odd_pages(page):
     assert isinstance(main_text(page), str)
