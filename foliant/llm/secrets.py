@@ -132,10 +132,11 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def spans_of(text: Column, rule: Rule) -> Column:
     """array<struct<start, kind, end>> of the rule's matches in ``text`` (end exclusive).
 
-    The text is cut into pieces, each a match and what stands before it; lengths add up to offsets.
+    The text is cut into pieces, each a match and what stands before it; lengths add up to offsets. A piece
+    begins where the last one ended (\\G), so that the search behind the last match is given up at once.
     """
     own = ("(?i)" if rule.ignore_case else "") + rule.pattern
-    pieces = F.regexp_extract_all(text, F.lit(("(?si)" if rule.ignore_case else "(?s)") + ".*?" + rule.pattern), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(("(?si)" if rule.ignore_case else "(?s)") + r"\G.*?" + rule.pattern), F.lit(0))
     sized = F.transform(pieces, lambda p: F.struct(F.length(p).cast("long").alias("all"), F.length(F.regexp_extract(p, own, 0)).cast("long").alias("match"), F.length(F.regexp_extract(p, own, rule.value)).alias("value")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,kind:int,end:long>>").alias("out"))
     return F.aggregate(
