@@ -34,6 +34,14 @@ ROUTES = {
     "pending": ["待定", "另行", "协商", "以...为准", "不明确"],
 }
 
+# Kinds of templates, their names and words, in order; words of titles with templates; words of scoring sections.
+TEMPLATES = [("commitment", "承诺书", ["承诺书", "承诺"]), ("authorization", "授权书", ["授权"]), ("declaration", "声明函", ["声明"])]
+TEMPLATE_TITLES = ["附件", "承诺书", "授权", "声明", "委托"]
+SCORING = ["评分", "评审办法", "评标", "评审", "分值", "得分"]
+SCORING_HOSTS = ["响应人须知", "投标人须知", "供应商须知", *SCORING]
+FORMAT_PATHS = ["格式", "响应文件", "投标文件组成"]
+TABLE_MARK, SCORING_HINTS = "【表格:", ["评分说明", "分值", "得分"]
+
 
 def _words(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
@@ -88,3 +96,24 @@ def merged_rules(base: dict, more: dict) -> dict:
             out[name] = more[name]
     out["rules"] = [*base.get("rules", []), *more.get("rules", [])]
     return out
+
+
+def holds_any(text: Column, words: list[str]) -> Column:
+    return F.exists(_words(words), lambda w: F.contains(text, w))
+
+
+def template_kind(title: Column, markdown: Column, seen: int = 500) -> Column:
+    """struct(type, type_label, confidence) by words in the title and the text's beginning."""
+    text = F.concat_ws("\n", title, F.left(markdown, F.lit(seen)))
+    made = lambda kind, label, sure: F.struct(F.lit(kind).alias("type"), F.lit(label).alias("type_label"), F.lit(sure).alias("confidence"))
+    return F.coalesce(*[F.when(holds_any(text, words), made(kind, label, 0.95)) for kind, label, words in TEMPLATES], made("other", "其他", 0.6))
+
+
+def scoring_section(path: Column, hosts: bool = False) -> Column:
+    """Whether a section path (array of titles) is about scoring; with ``hosts``, or may hold scoring tables."""
+    return holds_any(F.array_join(path, " "), SCORING_HOSTS if hosts else SCORING)
+
+
+def mixed_scoring_section(path: Column, markdown: Column) -> Column:
+    """Whether a section on formats holds a scoring table."""
+    return holds_any(F.array_join(path, " "), FORMAT_PATHS) & F.contains(markdown, F.lit(TABLE_MARK)) & holds_any(markdown, SCORING_HINTS)

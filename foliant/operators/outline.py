@@ -111,3 +111,15 @@ def relevel_enums(nodes: DataFrame, local_lists: DataFrame, key: str = "doc_id")
     deep = F.last(F.when((F.col("level") >= 2) & ~t.is_enum_line(F.col("title")), F.col("level")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("deep", deep).join(hit, [key, "ord"], "left")
     return rows.withColumn("level", F.when(F.col("local") & F.col("deep").isNotNull(), F.least(F.col("deep") + 1, F.lit(8))).otherwise(F.col("level"))).drop("prev_line", "deep", "local")
+
+
+def match_headings(nodes: DataFrame, heads: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Nodes with the start of their heading in the text: the one of the same level, title and occurrence; else the
+    first of that title; else the node's own anchor. Both have key, ord, level, title, char_start."""
+    same = Window.partitionBy(key, "level", "nt").orderBy("ord")
+    n = nodes.withColumn("nt", t.normalize_title(F.col("title"))).withColumn("k", F.row_number().over(same))
+    h = heads.withColumn("nt", t.normalize_title(F.col("title"))).withColumn("k", F.row_number().over(same))
+    first = h.groupBy(key, "nt").agg(F.min("char_start").alias("by_title"))
+    exact = h.select(key, "level", "nt", "k", F.col("char_start").alias("exact"))
+    both = n.join(exact, [key, "level", "nt", "k"], "left").join(first, [key, "nt"], "left")
+    return both.withColumn("char_start", F.coalesce("exact", "by_title", "char_start")).drop("nt", "k", "exact", "by_title")

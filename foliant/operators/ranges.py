@@ -75,6 +75,15 @@ def excerpt_range(content, excerpt):
     return F.when(own == "", F.lit(None)).when(exact > 0, made(exact - 1, F.length(excerpt))).when(size.isNotNull(), made(F.instr(content, F.left(own, size)) - 1, size))
 
 
+def located(content, part, hint):
+    """struct(char_start, char_end) of a part's stripped text in the content at or behind ``hint``; else of its first 120 characters; else at the hint itself."""
+    own = t.strip(part)
+    at = F.call_function("locate", own, content, hint + 1)
+    near = F.call_function("locate", F.left(own, F.lit(120)), content, hint + 1)
+    start = F.when(at > 0, at - 1).when(near > 0, near - 1).otherwise(hint).cast("long")
+    return F.struct(start.alias("char_start"), (start + F.length(own)).alias("char_end"))
+
+
 def paragraph_excerpt(content, title, least: int = 200, most: int = 800):
     """From the first paragraph with the title: paragraphs until ``most`` characters, further ones while fewer than ``least``."""
     paragraphs = F.filter(F.transform(F.split(content, r"\n\s*\n"), t.strip), lambda p: p != "")

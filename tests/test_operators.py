@@ -197,3 +197,22 @@ def test_empty_tables(spark, n):
     df = spark.createDataFrame([(1, "text")], "doc_id int, text string").limit(n)
     assert chunking.linked(chunking.chunks(df)).count() == n
     assert tree.duplicate_anchors(df.withColumn("block_start", F.lit(None).cast("int"))).count() == 0
+
+
+def test_template_kinds_and_scoring_paths(spark):
+    df = spark.createDataFrame([("投标承诺书", "x"), ("附件", "授权委托"), ("函", "声明如下"), ("表", "")], "t string, m string")
+    assert [r[0]["type"] for r in df.select(classify.template_kind(F.col("t"), F.col("m"))).collect()] == ["commitment", "authorization", "declaration", "other"]
+    p = spark.createDataFrame([(["第三章", "评审办法"], "x"), (["投标人须知"], "x"), (["投标文件格式"], "【表格:列表】 分值")], "p array<string>, m string")
+    got = [tuple(r) for r in p.select(classify.scoring_section(F.col("p")), classify.scoring_section(F.col("p"), True), classify.mixed_scoring_section(F.col("p"), F.col("m"))).collect()]
+    assert got == [(True, True, False), (False, True, False), (False, False, True)]
+
+
+def test_headings_matched_by_occurrence(spark):
+    n = spark.createDataFrame([(1, 0, 1, "1. A", 5), (1, 1, 1, "A", 6), (1, 2, 2, "B", 7), (1, 3, 1, "gone", 8)], "doc_id int, ord int, level int, title string, char_start int")
+    h = spark.createDataFrame([(1, 0, 1, "A", 100), (1, 1, 1, "a", 200), (1, 2, 3, "B", 300)], "doc_id int, ord int, level int, title string, char_start int")
+    assert rows(outline.match_headings(n, h), "ord", "char_start") == [(0, 100), (1, 200), (2, 300), (3, 8)]
+
+
+def test_located(spark):
+    df = spark.createDataFrame([("ab cd ab", " ab ", 3), ("ab cd ab", "zz", 2)], "c string, p string, h int")
+    assert [tuple(r[0]) for r in df.select(ranges.located(F.col("c"), F.col("p"), F.col("h"))).collect()] == [(6, 8), (2, 4)]
