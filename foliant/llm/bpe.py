@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from foliant.llm.common import map_arrow, table
 
 #: Words whose tokens a worker keeps; beyond it the memory is emptied.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 NEVER = 1 << 60
+#: Stands for the suffix that marks a word's end; no byte's letter.
+END = "\n"
 
 
 def default_model() -> str:
@@ -59,7 +61,6 @@ class Bpe:
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         split = next(x["pattern"]["Regex"] for x in d["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(split, regex.V0).findall
-        self.space = regex.compile(r"\p{White_Space}+")
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         size = max(self.tokens) + 1
@@ -80,7 +81,13 @@ class Bpe:
         for t in sorted(self.vocab.values(), key=lambda t: formed[t]):
             base = formed[t] < 0
             self.sound[t] = t not in twice and (base or self.sound[left[t]] and self.sound[right[t]] and self.apart(left[t], right[t], formed[t]))
-        self.longest = max(len(t) for t in self.vocab)
+        #: Every beginning of a token, the suffix as one sign: the token that it is, or -1.
+        self.begins: dict[str, int] = {}
+        for t, i in self.vocab.items():
+            t = t.removesuffix(self.suffix) + END if self.suffix and t.endswith(self.suffix) else t
+            for end in range(1, len(t)):
+                self.begins.setdefault(t[:end], -1)
+            self.begins[t] = i
         self.known = np.empty(0, np.int64)
         self.verdict = np.empty(0, bool)
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -110,8 +117,28 @@ class Bpe:
         return s
 
     def merged(self, word: str) -> tuple[int, ...]:
-        """The exact merge: the pair of lowest rank first, the leftmost of equals; n log n in the word's length."""
+        """The exact merge: the pair of lowest rank first, the leftmost of equals."""
         ids = [self.vocab[s] for s in self.symbols(word)]
+        return tuple(self._merged_long(ids) if len(ids) > 40 else self._merged_short(ids))
+
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        get, none = self.rank.get, (NEVER, 0)
+        found = [get(p, none) for p in itertools.pairwise(ids)]
+        while found:
+            best = min(found)
+            if best is none:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same with a queue: n log n in the word's length."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := self.rank.get((ids[i], ids[i + 1])))]
@@ -128,26 +155,27 @@ class Bpe:
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 and y < n and (r := self.rank.get((ids[x], ids[y]))):
                     heapq.heappush(queue, (r[0], x, ids[x], ids[y], r[1]))
-        return tuple(i for i in ids if i >= 0)
+        return [i for i in ids if i >= 0]
 
     def proposed(self, word: str) -> list[int]:
-        """Greedy longest match over the word's letters; the word's end is part of a token."""
-        text = "".join(self.letters[b] for b in word.encode("utf-8", "surrogatepass"))
-        vocab, n, at, out = self.vocab, len(text), 0, []
-        text += self.suffix
+        """Greedy longest match over the word's letters; the word's end is part of its last token."""
+        text = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        begins, n, at, out = self.begins.get, len(text), 0, []
+        if self.suffix:
+            text += END
         full = len(text)
-        while at < n:
-            t = vocab.get(text[at:])
-            if t is not None and full - at <= self.longest:
-                out.append(t)
-                break
-            for end in range(min(n - 1, at + self.longest), at, -1):
-                if (t := vocab.get(text[at:end])) is not None:
+        while at < full:
+            found, stop = -1, at
+            for end in range(at + 1, full + 1):
+                t = begins(text[at:end])
+                if t is None:
                     break
-            else:
+                if t >= 0 and (end != n or n == full):
+                    found, stop = t, end
+            if found < 0:
                 return []
-            out.append(t)
-            at = end
+            out.append(found)
+            at = stop
         return out
 
     def pairs_apart(self, codes: np.ndarray) -> np.ndarray:
@@ -186,8 +214,8 @@ class Bpe:
             self.cache[w] = self.merged(w) if failed else tuple(guess)
 
     def normal(self, text: str) -> str:
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()
+        """Normalised as the vocabulary's file says; words never hold white space, so it stays as it is."""
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text; special tokens stand for themselves, with a mark that no word has."""
