@@ -61,6 +61,29 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+class Sent:
+    """A broadcast under a name of its own, by which workers know what they have made of it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.key, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
+_held: dict = {}
+
+
+def held(key, make: Callable[[], object]):
+    """What ``make`` gives, kept in this Python worker until another key is asked for: a worker that goes from stage to
+    stage holds one model and its caches at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str, rows: int = 512) -> DataFrame:
     """``each`` on slices of at most ``rows`` rows, so that the memory a Python worker needs stays bounded."""
 

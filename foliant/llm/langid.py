@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import map_arrow, table
+from foliant.llm.common import Sent, held, map_arrow, table
 
 #: Documented bound of the fit: about so many documents per language, chosen by a hash of text and id.
 TRAIN_DOCS = 1000
@@ -34,7 +34,7 @@ SMOOTHING = 0.1
 #: A longer run of letters is scored in parts of this length; no letter is left out.
 LONGEST_WORD = 24
 LONGEST_PIECE = 10
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -55,29 +55,64 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
     return {p: i for i, p in enumerate(dict.fromkeys(kept))}
 
 
+def parts_of(word: str) -> list[str]:
+    """The word with the start mark; a long one in parts."""
+    word = START + word
+    return [word] if len(word) <= LONGEST_WORD else [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
+
+
 def words_of(text: str) -> list[str]:
-    """The runs of letters, lower-cased, with the start mark; long runs in parts."""
-    found = [START + w for w in LETTERS.findall(text.lower())]
-    if found and max(map(len, found)) > LONGEST_WORD:
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
+    """The runs of letters, lower-cased, as they are scored."""
+    return [part for w in LETTERS.findall(text.lower()) for part in parts_of(w)]
+
+
+class Pieces:
+    """The vocabulary's pieces by length, as 64-bit codes of their letters, so that all spans of many words are looked up at once."""
+
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, vocab: dict[str, int]):
+        self.size = len(vocab)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {len(x) for x in vocab}:
+            own = [x for x in vocab if len(x) == n]
+            codes = np.zeros(len(own), np.uint64)
+            for column in letters(own).T:
+                codes = codes * self.STEP + column
+            order = np.argsort(codes)
+            self.by_length[n] = codes[order], np.array([vocab[x] for x in own], np.int32)[order]
+
+    def ids(self, codes: np.ndarray, length: int) -> np.ndarray:
+        """The piece of each code; size + 1 where there is none."""
+        if length not in self.by_length:
+            return np.full(codes.shape, self.size + 1, np.int32)
+        known, ids = self.by_length[length]
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return np.where(known[at] == codes, ids[at], self.size + 1)
+
+
+def letters(words: list[str]) -> np.ndarray:
+    """(words, letters): the code points of words of one length."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1).astype(np.uint64)
 
 
 class Lattice:
     """The pieces of words of one length: for each span, the piece there, or none."""
 
-    def __init__(self, words: list[str], vocab: dict[str, int]):
+    def __init__(self, words: list[str], pieces: Pieces):
         n = len(words[0])
         self.n = n
         self.spans = [(j, i) for i in range(1, n + 1) for j in range(max(0, i - LONGEST_PIECE), i)]
-        none, lone, get = len(vocab) + 1, len(vocab), vocab.get
-        cut = [slice(j, i) for j, i in self.spans]
-        flat = [get(w[s], none) for w in words for s in cut]
-        self.ids = np.array(flat, np.int32).reshape(len(words), len(cut))
-        single = [k for k, (j, i) in enumerate(self.spans) if i - j == 1]
-        ids = self.ids[:, single]
-        ids[ids == none] = lone
-        self.ids[:, single] = ids
+        place = {s: k for k, s in enumerate(self.spans)}
+        self.ids = np.empty((len(words), len(self.spans)), np.int32)
+        signs = letters(words)
+        codes = np.zeros_like(signs)
+        for size in range(1, min(n, LONGEST_PIECE) + 1):
+            codes = codes[:, : n - size + 1] * Pieces.STEP + signs[:, size - 1 :]
+            found = pieces.ids(codes, size)
+            if size == 1:
+                found[found == pieces.size + 1] = pieces.size
+            self.ids[:, [place[j, j + size] for j in range(n - size + 1)]] = found
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """(words, n + 1, languages): the sum over all segmentations of the first letters."""
@@ -109,7 +144,7 @@ class Model:
     """Piece probabilities per language. The rows after the vocabulary: an unknown letter, and no piece."""
 
     def __init__(self, langs: list[str], vocab: dict[str, int], p: np.ndarray):
-        self.langs, self.vocab, self.p = langs, vocab, p
+        self.langs, self.vocab, self.p, self.pieces = langs, vocab, p, Pieces(vocab)
         self.at: dict[str, int] = {}
         self.logs = np.empty((0, len(langs)))
 
@@ -119,7 +154,8 @@ class Model:
         v = len(vocab)
         p = np.full((v + 2, len(langs)), 1.0 / (v + 1))
         p[-1] = 0
-        parts = [(Lattice([words[k] for k in at], vocab), counts[at]) for at in by_length(words)]
+        pieces = Pieces(vocab)
+        parts = [(Lattice([words[k] for k in at], pieces), counts[at]) for at in by_length(words)]
         for _ in range(rounds):
             got = np.zeros((v + 2, len(langs)))
             for lattice, n in parts:
@@ -138,17 +174,21 @@ class Model:
         return cls(langs, vocab, p)
 
     def learn(self, words: list[str]) -> None:
-        """The log likelihoods of new words, into the cache."""
+        """The log likelihoods of new words (as in a text, lower-cased), into the cache."""
         if len(self.at) + len(words) > CACHE_WORDS:
             self.at, self.logs = {}, np.empty((0, len(self.langs)))
-        new = np.empty((len(words), len(self.langs)))
-        for at in by_length(words):
-            new[at] = np.log(np.maximum(Lattice([words[k] for k in at], self.vocab).forward(self.p)[:, -1], 1e-300))
+        cut = [parts_of(w) for w in words]
+        flat = list(itertools.chain.from_iterable(cut))
+        logs = np.empty((len(flat), len(self.langs)))
+        for at in by_length(flat):
+            logs[at] = np.log(np.maximum(Lattice([flat[k] for k in at], self.pieces).forward(self.p)[:, -1], 1e-300))
+        if len(flat) > len(words):
+            logs = np.add.reduceat(logs, np.cumsum([0, *map(len, cut[:-1])]))
         self.at.update(zip(words, range(len(self.logs), len(self.logs) + len(words)), strict=True))
-        self.logs = np.concatenate([self.logs, new])
+        self.logs = np.concatenate([self.logs, logs])
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [words_of(t) if t else [] for t in texts]
+        split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         new = set(itertools.chain.from_iterable(split))
         missing = [w for w in new if w not in self.at]
         if missing:
@@ -195,24 +235,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model.fit(top.column("word").to_pylist(), counts, langs, vocab)
 
 
-_kept: dict[int, Model] = {}
-
-
-def _ship(spark: SparkSession, model: Model):
-    return spark.sparkContext.broadcast((model.langs, model.vocab, model.p))
-
-
-def _received(sent) -> Model:
-    """The model of a broadcast; the worker keeps the latest one with its word cache."""
-    if sent.id not in _kept if hasattr(sent, "id") else True:
-        _kept.clear()
-        _kept[getattr(sent, "id", 0)] = Model(*sent.value)
-    return _kept[getattr(sent, "id", 0)]
+def _received(sent: Sent) -> Model:
+    """The model of a broadcast; the worker keeps it with its word cache."""
+    return held(sent.key, lambda: Model(*sent.value))
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``df`` with the predicted language and its posterior probability under equal priors."""
-    sent = _ship(df.sparkSession, model)
+    sent = Sent(df.sparkSession, (model.langs, model.vocab, model.p))
     rest = df.drop(lang_out, score_out)
     at = rest.columns.index(text_col)
     schema = rest.select("*", F.lit(None).cast("string").alias(lang_out), F.lit(None).cast("double").alias(score_out)).schema
