@@ -188,7 +188,8 @@ def disclosing_terms(rows: DataFrame, generalise: float = GENERALISE, remove: fl
     total = float(rows.count())
     share = F.log(F.col("n_te") * total / (F.col("n_t") * F.col("n_e"))) / F.log(total / F.col("n_e"))
     found = pairs.join(n_t, "term").join(n_e, "entity").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= generalise)
-    return checkpoint(found.groupBy("term").agg((F.max("share") >= remove).alias("revealing")))
+    told = checkpoint(found.groupBy("term").agg((F.max("share") >= remove).alias("revealing")))
+    return None if told.isEmpty() else told
 
 
 def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
