@@ -11,7 +11,6 @@ rows need nothing; only the id and text columns are read, so other columns can h
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import itertools
@@ -25,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import map_arrow, table
+from foliant.llm.common import Sent, held, map_arrow, table
 
 #: Words whose tokens a worker keeps; beyond it the memory is emptied.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 NEVER = 1 << 60
 #: Stands for the suffix that marks a word's end; no byte's letter.
 END = "\n"
@@ -195,7 +194,7 @@ class Bpe:
         """The tokens of new words, into the cache."""
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache.clear()
-        if len(self.known) > 4_000_000:
+        if len(self.known) > 1_000_000:
             self.known, self.verdict = np.empty(0, np.int64), np.empty(0, bool)
         guesses = [self.proposed(w) for w in words]
         sizes = np.fromiter(map(len, guesses), np.int64, len(guesses))
@@ -252,15 +251,15 @@ class Bpe:
             return " ".join([tokens[i] for i in ids if i in tokens])
 
 
-@functools.lru_cache(2)
-def _loaded(spec: str) -> Bpe:
-    return Bpe(spec)
+def _loaded(sent: Sent) -> Bpe:
+    """The encoder of the vocabulary that was sent, kept by the worker."""
+    return held(sent.key, lambda: Bpe(sent.value))
 
 
 def _shipped(spark: SparkSession, model: str | None):
     """The vocabulary file (a fixed few MB) to all executors, so that only the driver needs the path."""
     with open(model or default_model(), encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        return Sent(spark, f.read())
 
 
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", model: str | None = None) -> DataFrame:
@@ -271,7 +270,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", mo
     schema = rest.select("*", F.lit(None).cast("array<int>").alias(out_col)).schema
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = _loaded(spec.value).encode_batch(batch.column(at).to_pylist())
+        ids = _loaded(spec).encode_batch(batch.column(at).to_pylist())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, out_col])
 
     return map_arrow(rest, each, schema, 256)
@@ -285,7 +284,7 @@ def decode(df: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded",
     schema = rest.select("*", F.lit(None).cast("string").alias(out_col)).schema
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = _loaded(spec.value)
+        bpe = _loaded(spec)
         texts = [bpe.decode(ids or []) for ids in batch.column(at).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
 
@@ -302,7 +301,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
     schema = f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = _loaded(spec.value)
+        bpe = _loaded(spec)
         encoded = bpe.encode_batch(batch.column(1).to_pylist())
         numerals, sha = bpe.numerals, hashlib.sha256
         ids = [sha(" ".join([numerals[i] for i in x]).encode()).hexdigest() for x in encoded]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import map_arrow, table
+from foliant.llm.common import Sent, held, map_arrow, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -156,15 +156,9 @@ class Items:
         return out
 
 
-_kept: dict[int, Items] = {}
-
-
-def _received(sent) -> Items:
-    key = sent.id if hasattr(sent, "id") else id(sent)
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Items(*sent.value)
-    return _kept[key]
+def _received(sent: Sent) -> Items:
+    """The items of a broadcast, kept by the worker."""
+    return held(sent.key, lambda: Items(*sent.value))
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, most: int):
@@ -174,7 +168,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, most: int):
     n = math.ceil(chars / most)
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else rows
-        yield items.sparkSession.sparkContext.broadcast(([tuple(r) for r in part.collect()], RADIUS, SIMILARITY))
+        yield Sent(items.sparkSession, ([tuple(r) for r in part.collect()], RADIUS, SIMILARITY))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", item_chars: int = ITEM_CHARS) -> DataFrame:
