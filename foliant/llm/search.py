@@ -3,9 +3,9 @@
 A shard is what one task meets of the documents, up to SHARD_DOCS: its postings, lengths and ids, one row of a
 table in the shared folder. Each term's postings are cut at the same document blocks, and each block has the term's largest
 weight. As in block-max WAND, a block of documents is scored only while the sum of its terms' block maxima can reach the
-k-th best score so far; that test is taken for all blocks at once, and blocks are met from the largest bound on, so that
-the threshold rises early. Document counts, the number of documents and their mean length are taken over the whole corpus, so
-scores are the same in any shard, and merging the shards' best k is exact. Sums run in the order of the terms.
+k-th best score so far; that test is taken for many queries at once, and blocks are met from the largest bounds on, so that
+thresholds rise early; they go on from one shard of a task to the next. Document counts, the number of documents and their mean length are taken over the whole corpus, so
+scores are the same in any shard, and merging the tasks' best k is exact. Scores are rounded to nine digits before they are compared.
 
 Queries are taken in blocks of bounded size, each a broadcast. Only documents that share a term with a query are
 results; the query's own document is one. Equal scores go by the smaller id (null ids last). Null texts and texts without words
@@ -37,6 +37,12 @@ SHARD_DOCS = 8192
 SHARD_POSTINGS = 3_000_000
 #: Documents in a block.
 BLOCK = 32
+#: Blocks that are scored together.
+TOGETHER = 4
+#: A term is common if queries that have it times documents that have it reach this part of all pairs.
+COMMON = 150
+#: Queries that are scored together.
+QUERIES = 256
 #: (query, term) pairs that are broadcast at once.
 PAIRS = 600_000
 
@@ -154,51 +160,51 @@ class Scorer:
         self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * shard.lengths[self.docs] / mean))
         self.n = len(shard.ids)
         self.blocks = -(-self.n // BLOCK)
-        # each term's postings of one block are a cell; cells follow each other by term, then block
-        cell = np.repeat(np.arange(len(sizes)), sizes) * self.blocks + self.docs // BLOCK
-        at = np.nonzero(np.diff(cell, prepend=-1))[0] if len(cell) else np.zeros(0, np.int64)
-        self.cell_start = np.append(at, len(cell))
-        self.cell_block = (cell[at] % self.blocks) if len(at) else at
-        self.cell_max = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
-        self.term_cells = np.searchsorted(cell[at], np.arange(len(sizes) + 1) * self.blocks) if len(at) else np.zeros(len(sizes) + 1, np.int64)
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(documents, scores, postings met) of the best k; ``order`` ranks documents with equal scores."""
-        place = self.place[terms]
+        self.met = 0
+
+    def best(self, starts: np.ndarray, term_of: np.ndarray, weights: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score) of all documents that may be among the best of some queries.
+
+        ``best`` holds each query's best scores so far, the least of them last, and is brought up to date. Terms that many of the queries and
+        documents have are columns of a matrix, so that their sums are products of matrices; the others' are summed one by one.
+        """
+        n_q, width, k = len(starts) - 1, self.blocks * BLOCK, best.shape[1]
+        owner, place = np.repeat(np.arange(n_q), np.diff(starts)), self.place[term_of]
         here = place >= 0
-        place, weights = place[here], weights[here]
+        owner, place, weights = owner[here], place[here], weights[here]
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if not len(place):
-            return np.zeros(0, np.int64), np.zeros(0), 0
-        first, size = self.term_cells[place], self.term_cells[place + 1] - self.term_cells[place]
-        cells, owner = ranges(first, size), np.repeat(np.arange(len(place)), size)
-        blocks = self.cell_block[cells]
-        bound = np.bincount(blocks, weights[owner] * self.cell_max[cells], self.blocks)
-        by_bound = np.argsort(-bound, kind="stable")
-        by_bound = by_bound[bound[by_bound] > 0]
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        least, at, step, met = 0.0, 0, 4, 0
-        while at < len(by_bound):
-            alive = by_bound[at : at + step]
-            alive = alive[bound[alive] * (1 + 1e-9) >= least]
+            return none
+        used, local = np.unique(place, return_inverse=True)
+        df = self.starts[used + 1] - self.starts[used]
+        common = df * np.bincount(local) * COMMON >= n_q * self.n
+        rare = ~common[local]
+        size = df[local[rare]]
+        take = ranges(self.starts[place[rare]], size)
+        sums = np.bincount(np.repeat(owner[rare] * width, size) + self.docs[take], np.repeat(weights[rare], size) * self.weight[take], n_q * width).reshape(n_q, width)
+        asked = np.zeros((n_q, int(common.sum())))
+        asked[owner[~rare], (np.cumsum(common) - 1)[local[~rare]]] = weights[~rare]
+        has = np.zeros((asked.shape[1], width))
+        take = ranges(self.starts[used[common]], df[common])
+        has[np.repeat(np.arange(len(has)), df[common]), self.docs[take]] = self.weight[take]
+        bound = asked @ has.reshape(len(has), self.blocks, BLOCK).max(2) + sums.reshape(n_q, self.blocks, BLOCK).max(2)
+        bound = bound * (1 + 1e-9) + 1e-9
+        order = np.argsort(-bound.sum(0), kind="stable")
+        found = [none]
+        for at in range(0, self.blocks, TOGETHER):
+            now = order[at : at + TOGETHER]
+            alive = np.nonzero(bound[:, now].max(1) >= np.maximum(best[:, -1], 2e-9))[0]
             if not len(alive):
-                break
-            wanted = np.zeros(self.blocks, bool)
-            wanted[alive] = True
-            mine = wanted[blocks]
-            sizes = self.cell_start[cells[mine] + 1] - self.cell_start[cells[mine]]
-            take = ranges(self.cell_start[cells[mine]], sizes)
-            met += len(take)
-            total = np.bincount(self.docs[take], np.repeat(weights[owner[mine]], sizes) * self.weight[take], self.n)
-            found = np.nonzero(total >= max(least, 1e-300))[0]
-            docs, scores = np.concatenate([docs, found]), np.concatenate([scores, total[found]])
-            if len(docs) > k:
-                best = np.lexsort((order[docs], -scores))[:k]
-                docs, scores = docs[best], scores[best]
-            if len(docs) == k:
-                least = float(scores.min())
-            at, step = at + step, step * 2
-        best = np.lexsort((order[docs], -scores))[:k]
-        return docs[best], scores[best], met
+                continue
+            docs = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            scores = np.round(sums[np.ix_(alive, docs)] + asked[alive] @ has[:, docs], 9)
+            self.met += scores.size
+            best[alive] = -np.partition(-np.concatenate([best[alive], scores], 1), k - 1, axis=1)[:, :k]
+            q, d = np.nonzero(scores >= np.maximum(best[alive, -1:], 1e-9))
+            found.append((alive[q], docs[d], scores[q, d]))
+        q, d, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        stay = scores >= best[q, -1]
+        return q[stay], d[stay], scores[stay]
 
 
 def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -235,10 +241,12 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, id_col: str = "d
     pairs = weighted.count()
     n_blocks = max(1, math.ceil(pairs / PAIRS))
     id_kind, q_kind = index.schema["ids"].dataType.elementType.simpleString(), weighted.schema["query_id"].dataType.simpleString()
+    shards = index.select("ids", "terms", "data")
+    shards = shards.coalesce(spark.sparkContext.defaultParallelism)  # a task goes through many shards
     out = spark.createDataFrame([], f"query_id {q_kind}, query_hash long, doc_id {id_kind}, score double")
     for b in range(n_blocks):
         part = weighted.where(F.pmod(F.xxhash64("query_id", "query_hash"), F.lit(n_blocks)) == b).orderBy("query_id", "query_hash", "term").toArrow()
-        out = out.unionByName(index.select("ids", "terms", "data").mapInArrow(_searcher(spark.sparkContext.broadcast(_block(part)), top, mean), out.schema))
+        out = out.unionByName(shards.mapInArrow(_searcher(spark.sparkContext.broadcast(_block(part)), top, mean), out.schema))
     w = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "doc_id", "score")
 
@@ -254,23 +262,31 @@ def _block(part: pa.Table) -> tuple:
 
 
 def _searcher(sent, top: int, mean: float):
-    """Finds the best of each shard for the block of queries that was sent."""
+    """Finds the best of all shards that a task meets, for the block of queries that was sent; thresholds go on from shard to shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners, starts, term_of, weights, terms = sent.value
+        best = np.zeros((len(owners), top))
+        held: list[list[tuple]] = [[] for _ in owners]
+        id_type = None
         for batch in batches:
+            id_type = batch.schema.field("ids").type.value_type
             for r in range(batch.num_rows):
                 ids = batch.column("ids")[r].as_py()
-                shard = Shard.unpacked(ids, batch.column("terms")[r].as_py(), batch.column("data")[r].as_py())
-                scorer = Scorer(shard, terms, mean)
-                rank = np.empty(len(ids), np.int64)
-                rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))] = np.arange(len(ids))
-                found: list[tuple] = []
-                for q, (key, query_hash) in enumerate(owners):
-                    docs, scores, _ = scorer.top(term_of[starts[q] : starts[q + 1]], weights[starts[q] : starts[q + 1]], top, rank)
-                    found += [(key, query_hash, ids[d], s) for d, s in zip(docs.tolist(), scores.tolist(), strict=True)]
-                columns = list(zip(*found, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64() if not found or isinstance(columns[0][0], int) else pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], batch.schema.field("ids").type.value_type), pa.array(columns[3], pa.float64())], ["query_id", "query_hash", "doc_id", "score"])
+                scorer = Scorer(Shard.unpacked(ids, batch.column("terms")[r].as_py(), batch.column("data")[r].as_py()), terms, mean)
+                for at in range(0, len(owners), QUERIES):
+                    cut = starts[at : at + QUERIES + 1]
+                    q, d, scores = scorer.best(cut - cut[0], term_of[cut[0] : cut[-1]], weights[cut[0] : cut[-1]], best[at : at + QUERIES])
+                    for i, j, x in zip((q + at).tolist(), d.tolist(), scores.tolist(), strict=True):
+                        held[i].append((-x, ids[j] is None, ids[j]))
+                for i, (rows, least) in enumerate(zip(held, best[:, -1].tolist(), strict=True)):
+                    if len(rows) > 4 * top:
+                        held[i] = [x for x in rows if -x[0] >= least]
+        if id_type is None:
+            return
+        found = [(*key, row[2], -row[0]) for key, rows in zip(owners, held, strict=True) for row in sorted(rows, key=lambda x: (x[0], x[1], x[2] if not x[1] else 0))[:top]]
+        columns = list(zip(*found, strict=True)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64() if not found or isinstance(columns[0][0], int) else pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], id_type), pa.array(columns[3], pa.float64())], ["query_id", "query_hash", "doc_id", "score"])
 
     return run
 
