@@ -41,6 +41,8 @@ BLOCK = 32
 TOGETHER = 4
 #: A term is common if queries that have it times documents that have it reach this part of all pairs.
 COMMON = 150
+#: Terms whose counts a task adds up at once.
+COUNTED = 500_000
 #: Queries that are scored together.
 QUERIES = 256
 #: (query, term) pairs that are broadcast at once.
@@ -143,6 +145,28 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     return written(rows.mapInArrow(run, f"shard string, n_docs long, length long, ids array<{kind}>, terms array<string>, dfs array<long>, data binary"), "index")
 
 
+def document_counts(shards: DataFrame) -> DataFrame:
+    """(term, df) over all shards (terms, dfs); a task adds up its shards' counts before any row is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "df"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                for w, n in zip(batch.column("terms")[r].as_py(), batch.column("dfs")[r].as_py(), strict=True):
+                    counts[w] = counts.get(w, 0) + n
+                if len(counts) > COUNTED:
+                    yield rows()
+        yield rows()
+
+    return shards.mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
 class Scorer:
     """A shard made ready for some queries' terms under the corpus's statistics."""
 
@@ -235,14 +259,13 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, id_col: str = "d
     index = build(docs, id_col, text_col, bits)
     n_docs, length = index.agg(F.sum("n_docs"), F.sum("length")).first()
     n_docs, mean = n_docs or 0, max((length or 0) / (n_docs or 1), 1e-9)
-    dfs = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
+    shards = index.select("ids", "terms", "data").coalesce(spark.sparkContext.defaultParallelism)  # a task goes through many shards
+    dfs = document_counts(index.select("terms", "dfs").coalesce(spark.sparkContext.defaultParallelism))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = checkpoint(asked.join(dfs, "term").select("query_id", "query_hash", "term", (F.col("n") * idf).alias("weight")))
     pairs = weighted.count()
     n_blocks = max(1, math.ceil(pairs / PAIRS))
     id_kind, q_kind = index.schema["ids"].dataType.elementType.simpleString(), weighted.schema["query_id"].dataType.simpleString()
-    shards = index.select("ids", "terms", "data")
-    shards = shards.coalesce(spark.sparkContext.defaultParallelism)  # a task goes through many shards
     out = spark.createDataFrame([], f"query_id {q_kind}, query_hash long, doc_id {id_kind}, score double")
     for b in range(n_blocks):
         part = weighted.where(F.pmod(F.xxhash64("query_id", "query_hash"), F.lit(n_blocks)) == b).orderBy("query_id", "query_hash", "term").toArrow()
