@@ -5,9 +5,10 @@ the letters of it that stand in links, the tags met in it, and the elements that
 notices, adverts, forms, scripts, styles and reader comments are set apart by their elements' names,
 roles and class or id words. The ratio of a line's letters outside links to its tags, smoothed over the
 lines by a Gaussian, is held against a threshold (the mean of the smoothed ratios less half a
-standard deviation); runs of lines above it are clusters. The element that holds most of the clusters'
-text (article and main elements first) is the content region, and every block in it that isn't set apart
-is text: short ones, too.
+standard deviation); runs of lines above it are clusters. The innermost element that holds all
+clusters (article and main elements first, lists and tables never) is the content region, and every block in it that isn't
+set apart is text: short ones, too, and inside articles those that are only links. Where that region is no article, paragraphs, lists
+and tables directly in the elements around it are text as well, as a short lead may be below the threshold.
 
 Character references are decoded; white space inside a block becomes one space, and line breaks
 inside a block are white space. Null or empty html gives an empty text. Rows are independent; repeated
@@ -45,6 +46,9 @@ ASIDE_ARTICLE = frozenset("comment comments reply ad advert sponsored related".s
 WHOLE = frozenset("html body article main".split())
 #: Elements set apart that may stand in the middle of a block, which goes on behind them.
 WITHIN = frozenset("script style noscript template button select option textarea iframe object svg math canvas audio video datalist".split()) | INLINE
+ARTICLES = frozenset(("article", "main"))
+#: Pieces of a text, which more of it may stand beside: never the content region.
+PIECES = frozenset("p li td th tr pre blockquote ul ol dl dt dd table thead tbody tfoot caption figure figcaption address details summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A paragraph ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -176,6 +180,11 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.5) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
+def shared(blocks: list[Block]) -> set[int]:
+    """The elements that hold every one of the blocks."""
+    return set(blocks[0].path).intersection(*(b.path for b in blocks[1:])) if blocks else set()
+
+
 def region(blocks: list[Block], tag_of: dict[int, str]) -> tuple[int, int, int]:
     """The number of the element that holds the page's content (0 is the page), and the first and last block above the threshold."""
     ratios = np.array([0.0 if b.apart else max(0, b.chars - 2 * b.linked) / b.tags for b in blocks])
@@ -183,22 +192,19 @@ def region(blocks: list[Block], tag_of: dict[int, str]) -> tuple[int, int, int]:
     dense = (smooth >= smooth.mean() - 0.5 * smooth.std()) & (ratios > 0)
     above_at = np.nonzero(dense)[0].tolist() or [0]
     ends = above_at[0], above_at[-1]
-    weight: dict[int, int] = {}
-    total = 0
-    for b, above in zip(blocks, dense.tolist(), strict=True):
-        if above:
-            total += b.chars
-            for i in b.path:
-                weight[i] = weight.get(i, 0) + b.chars
-    is_article = lambda i: tag_of[i] in ("article", "main")
-    articles = [i for i in weight if is_article(i)]
-    if articles and max(weight[i] for i in articles) >= 0.3 * total:
-        # articles beside each other are one region: the innermost element that holds nearly all of their text
-        text = sum(b.chars for b, above in zip(blocks, dense.tolist(), strict=True) if above and any(map(is_article, b.path)))
-        one = [i for i in articles if weight[i] >= 0.95 * text]
-        return (max(one) if one else max(i for i in weight if weight[i] >= 0.95 * text), *ends)
-    # the innermost element with nearly all the dense text: beyond it, only more of the page's frame, but for a title that stands before
-    inside = max((i for i in weight if weight[i] >= 0.9 * total and tag_of[i] not in HEADINGS and tag_of[i] not in ("p", "li", "td", "pre", "blockquote")), default=0)
+    clusters = [b for b, above in zip(blocks, dense.tolist(), strict=True) if above]
+    articles = {i for b in clusters for i in b.path if tag_of[i] in ARTICLES}
+    weight = dict.fromkeys(articles, 0)
+    for b in clusters:
+        for i in articles.intersection(b.path):
+            weight[i] += b.chars
+    if articles and max(weight.values()) >= 0.3 * sum(b.chars for b in clusters):
+        # articles beside each other are one region: the innermost element that holds all of their clusters; of articles in each other, the outermost
+        holding = shared([b for b in clusters if not articles.isdisjoint(b.path)])
+        one = articles & holding
+        return (min(one) if one else max(holding), *ends)
+    # the innermost element with all the clusters: beyond it, only the page's frame, but for a title that stands before
+    inside = max((i for i in shared(clusters) if tag_of[i] not in HEADINGS and tag_of[i] not in PIECES), default=0)
     own = [k for k, b in enumerate(blocks) if inside in b.path]
     for k, b in enumerate(blocks):
         if tag_of[b.path[-1]] == "h1" and not b.apart and own and k < own[0] and k < ends[1]:
@@ -208,8 +214,18 @@ def region(blocks: list[Block], tag_of: dict[int, str]) -> tuple[int, int, int]:
 
 
 def is_menu(b: Block, tag_of: dict[int, str]) -> bool:
-    """Before the first or behind the last cluster, a block that is nothing but links, and no heading."""
-    return b.linked >= 0.9 * b.chars and tag_of[b.path[-1]] not in HEADINGS
+    """Before the first or behind the last cluster, a block outside articles that is nothing but links, and no heading."""
+    return b.linked >= 0.9 * b.chars and tag_of[b.path[-1]] not in HEADINGS and not any(tag_of[i] in ARTICLES for i in b.path)
+
+
+def above(blocks: list[Block], inside: int) -> set[int]:
+    """The elements that the content region stands in."""
+    return next(({i for i in b.path if i < inside} for b in blocks if inside in b.path), set())
+
+
+def is_beside(b: Block, holders: set[int], tag_of: dict[int, str]) -> bool:
+    """Whether a block stands as a paragraph, heading, list, table or bare text directly in an element that the content region stands in."""
+    return bool(holders) and all(i in holders or tag_of[i] in PIECES or tag_of[i] in HEADINGS for i in b.path)
 
 
 def main_text(html: str | None) -> str:
@@ -223,7 +239,8 @@ def main_text(html: str | None) -> str:
     if not any(not b.apart for b in blocks):
         return ""
     inside, first, last = region(blocks, reader.tag_of)
-    kept = [b for k, b in enumerate(blocks) if not b.apart and inside in b.path and (first <= k <= last or not is_menu(b, reader.tag_of))]
+    holders = set() if reader.tag_of[inside] in ARTICLES else above(blocks, inside)
+    kept = [b for k, b in enumerate(blocks) if not b.apart and (inside in b.path and first <= k <= last or (inside in b.path or is_beside(b, holders, reader.tag_of)) and not is_menu(b, reader.tag_of))]
     lines = (SPACE.sub(" ", "".join(b.text)).strip() for b in kept)
     return "\n".join(x for x in lines if x)
 
