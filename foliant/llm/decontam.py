@@ -1,11 +1,11 @@
-"""Benchmark decontamination: item-sized windows of the documents, matched by SimHash, verified exactly.
+"""Benchmark decontamination: item-sized windows of the documents, found by shared shingles, verified exactly.
 
 Texts are lower-cased runs of letters and digits. An item of L words is held against document windows of L
-words (the whole document where it is shorter), at every position where the window shares at least one
-five-word shingle with an item; any other window has similarity 0. Windows and items have weighted
-SimHash fingerprints; an index over the fingerprint's blocks yields every pair within the radius (a
-pair within r bits differs by at most r // blocks bits in some block). A pair that is left is verified: the weight of the
-item's shingles that the window has, over the weight of all the item's shingles, must be 0.8 or more. A
+words (the whole document where it is shorter). An index leads from each five-word shingle to the items that have
+it. An item whose shingles in the whole document weigh too little for the threshold has no window that reaches it;
+for any other, every position where a shared shingle enters the window is verified: the weight of the
+item's shingles that the window has, over the weight of all the item's shingles, must be 0.8 or more. Between these positions
+shingles only leave the window, so the best window is among them, and no fingerprint stands before the exact test. A
 shingle's weight is its rarity among the items. Items of fewer than five words have their whole sequence as one shingle.
 
 Null texts, and texts or items without words, match nothing. Repeated items count each; repeated rows of documents
@@ -27,13 +27,10 @@ from foliant.llm.common import Sent, held, map_arrow, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 22
-BLOCKS = 8
 #: Characters of items that are broadcast at once; more items are taken in turns.
 ITEM_CHARS = 16_000_000
 WORDS = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-POPCOUNT = np.bitwise_count(np.arange(256, dtype=np.uint8))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -59,61 +56,49 @@ def codes(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 class Items:
-    """The items' shingles, fingerprints and block index, by length."""
+    """The items' shingles and their weights, and the items that have each shingle."""
 
-    def __init__(self, rows: list[tuple], radius: int = RADIUS, similarity: float = SIMILARITY):
-        self.radius, self.similarity = radius, similarity
+    def __init__(self, rows: list[tuple], similarity: float = SIMILARITY):
+        self.similarity = similarity
         texts = [(i, w) for i, t in rows if (w := words_of(t))]
         self.vocab = {w: k + 1 for k, w in enumerate(sorted({x for _, w in texts for x in w}))}
         self.ids = [i for i, _ in texts]
-        self.words = [np.array([self.vocab[x] for x in w], np.int64) for _, w in texts]
-        self.sizes = [min(SHINGLE, len(w)) for w in self.words]
-        self.shingles = [codes(w, k) for w, k in zip(self.words, self.sizes, strict=True)]
-        found = Counter(c for s in self.shingles for c in set(s.tolist()))
+        words = [np.array([self.vocab[x] for x in w], np.int64) for _, w in texts]
+        self.lengths = [len(w) for w in words]
+        self.sizes = [min(SHINGLE, n) for n in self.lengths]
+        self.sets = [sorted(set(codes(w, k).tolist())) for w, k in zip(words, self.sizes, strict=True)]
+        found = Counter(c for s in self.sets for c in s)
         n = len(texts)
         self.weight = {c: 1.0 + math.log((1 + n) / (1 + d)) for c, d in found.items()}
-        self.rare = 1.0 + math.log(1 + n)
-        self.total = [sum(self.weight[c] for c in set(s.tolist())) for s in self.shingles]
-        self.sets = [frozenset(s.tolist()) for s in self.shingles]
-        order = sorted(self.weight)
-        self.known = np.array(order, np.uint64)
-        self.known_weight = np.array([self.weight[c] for c in order])
-        self.groups: dict[int, list[int]] = defaultdict(list)
-        for k, w in enumerate(self.words):
-            self.groups[len(w)].append(k)
-        self.fps = np.array([self.fingerprints(s, len(s))[0] for s in self.shingles], np.uint64)
-        self.index = {length: self._index(self.fps[own]) for length, own in self.groups.items()}
-
-    def weights(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each shingle's weight, and whether an item has it."""
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        hit = self.known[at] == shingles
-        return np.where(hit, self.known_weight[at], self.rare), hit
-
-    def fingerprints(self, shingles: np.ndarray, window: int) -> np.ndarray:
-        """The weighted SimHash of every run of ``window`` shingles."""
-        weight, _ = self.weights(shingles)
-        bits = np.unpackbits(scrambled(shingles + MIX).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        signed = np.where(bits, weight[:, None], -weight[:, None])
-        sums = np.concatenate([np.zeros((1, 64)), np.cumsum(signed, 0)])
-        return np.packbits(sums[window:] - sums[:-window] > 1e-9, axis=1).view(">u8")[:, 0].astype(np.uint64)
-
-    def _index(self, fps: np.ndarray) -> np.ndarray:
-        """near[block, value]: the items whose block is within radius // BLOCKS bits of the value."""
-        each = self.radius // BLOCKS
-        own = fps.astype(">u8").view(np.uint8).reshape(-1, BLOCKS)
-        return np.stack([POPCOUNT[np.arange(256, dtype=np.uint8)[:, None] ^ own[None, :, b]] <= each for b in range(BLOCKS)])
-
-    def candidates(self, length: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item of that length) within the radius: found by a block, then counted."""
-        blocks = fps.astype(">u8").view(np.uint8).reshape(-1, BLOCKS)
-        near = np.zeros((len(fps), len(self.groups[length])), bool)
-        for b in range(BLOCKS):
-            near |= self.index[length][b, blocks[:, b]]
-        w, i = np.nonzero(near)
-        own = self.fps[self.groups[length]]
-        ok = np.bitwise_count(fps[w] ^ own[i]) <= self.radius
-        return w[ok], i[ok]
+        self.total = [sum(self.weight[c] for c in s) for s in self.sets]
+        self.having: dict[int, dict[int, list[int]]] = {size: defaultdict(list) for size in set(self.sizes)}
+        for k, s in enumerate(self.sets):
+            for c in s:
+                self.having[self.sizes[k]][c].append(k)
+        self.known = {size: np.array(sorted(own), np.uint64) for size, own in self.having.items()}
+
+    def best(self, k: int, hits: list[tuple[int, int]], shingles: int) -> tuple[float, int]:
+        """The highest similarity of item ``k`` in a window, and the first such window, from its (position, shingle) hits."""
+        window = min(self.lengths[k] - self.sizes[k] + 1, shingles)
+        inside: Counter = Counter()
+        weight, best, left, right = 0.0, (0.0, 0), 0, 0
+        for at, _ in hits:
+            start = max(0, at - window + 1)
+            while right < len(hits) and hits[right][0] < start + window:
+                c = hits[right][1]
+                weight += 0.0 if inside[c] else self.weight[c]
+                inside[c] += 1
+                right += 1
+            while hits[left][0] < start:
+                c = hits[left][1]
+                inside[c] -= 1
+                weight -= 0.0 if inside[c] else self.weight[c]
+                left += 1
+            if weight >= max(self.similarity, best[0]) * self.total[k] - 1e-6:
+                similarity = sum(self.weight[c] for c in sorted(c for c, m in inside.items() if m)) / self.total[k]
+                if similarity > best[0] + 1e-12:
+                    best = similarity, start
+        return best
 
     def links(self, text: str | None) -> list[tuple]:
         """(item id, similarity, first word, words) of each item that the text has, with its best window."""
@@ -124,35 +109,26 @@ class Items:
         ids = np.array([get(w, 0) for w in words], np.int64)
         known = np.nonzero(ids == 0)[0]
         runs = np.diff(np.concatenate([[-1], known, [len(ids)]])) - 1
-        least = min(self.sizes)
-        if runs.max() < min(least, len(words)):
+        if runs.max() < min(min(self.sizes), len(words)):
             return []
         unknown = (scrambled(np.arange(len(ids)).astype(np.uint64)) >> np.uint64(2)).astype(np.int64) + (1 << 40)
         ids = np.where(ids == 0, unknown, ids)
         out = []
-        by_size = {}
-        for length, own in self.groups.items():
-            size = min(SHINGLE, length)
-            if size not in by_size:
-                s = codes(ids, size) if len(ids) >= size else np.zeros(0, np.uint64)
-                by_size[size] = (s, np.nonzero(self.weights(s)[1])[0] if len(s) else np.zeros(0, np.int64))
-            s, hits = by_size[size]
-            if not len(hits):
+        for size, having in self.having.items():
+            s, known = codes(ids, size), self.known[size]
+            if not len(s):
                 continue
-            window = min(length, len(ids)) - size + 1
-            last = len(s) - window
-            starts = np.unique(np.clip(hits[:, None] - np.arange(window)[None, :], 0, last))
-            breaks = np.nonzero(np.diff(starts) > 1)[0] + 1
-            best: dict[int, tuple] = {}
-            for part in np.split(starts, breaks):
-                region = s[part[0] : part[-1] + window]
-                for w, i in zip(*self.candidates(length, self.fingerprints(region, window)), strict=True):
-                    k = own[i]
-                    shared = self.sets[k].intersection(region[w : w + window].tolist())
-                    similarity = sum(self.weight[c] for c in sorted(shared)) / self.total[k]
-                    if similarity >= self.similarity - 1e-9 and similarity > best.get(k, (0,))[0] + 1e-12:
-                        best[k] = (similarity, int(part[0] + w))
-            out += [(self.ids[k], min(1.0, x), at, min(length, len(ids))) for k, (x, at) in best.items()]
+            at = np.nonzero(known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s)[0]
+            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for p, c in zip(at.tolist(), s[at].tolist(), strict=True):
+                for k in having[c]:
+                    hits[k].append((p, c))
+            for k, own in hits.items():
+                if sum(self.weight[c] for c in {c for _, c in own}) < self.similarity * self.total[k] - 1e-6:
+                    continue
+                similarity, first = self.best(k, own, len(s))
+                if similarity >= self.similarity - 1e-9:
+                    out.append((self.ids[k], min(1.0, similarity), first, min(self.lengths[k], len(ids))))
         return out
 
 
@@ -168,7 +144,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, most: int):
     n = math.ceil(chars / most)
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else rows
-        yield Sent(items.sparkSession, ([tuple(r) for r in part.collect()], RADIUS, SIMILARITY))
+        yield Sent(items.sparkSession, ([tuple(r) for r in part.collect()], SIMILARITY))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", item_chars: int = ITEM_CHARS) -> DataFrame:
