@@ -84,6 +84,32 @@ def held(key, make: Callable[[], object]):
     return _held[key]
 
 
+class Lookup:
+    """Whole numbers to values, for many at once: tables by different hashes, each for what the ones before have no place for."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.tables = []
+        keys, values = keys.astype(np.uint64), values.astype(np.int32)
+        while len(keys):
+            bits = max(4, int(len(keys) * 8).bit_length())
+            mult, shift = np.uint64(0x9E3779B97F4A7C15 + 2 * 0x51ED2701 * len(self.tables)), np.uint64(64 - bits)
+            at = (keys * mult) >> shift
+            own, to = np.full(1 << bits, ~np.uint64(0)), np.full(1 << bits, -1, np.int32)
+            own[at], to[at] = keys, values
+            self.tables.append((mult, shift, own, to))
+            rest = own[at] != keys
+            keys, values = keys[rest], values[rest]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's value, -1 if it has none."""
+        keys = keys.astype(np.uint64)
+        out = np.full(keys.shape, -1, np.int32)
+        for mult, shift, own, to in self.tables:
+            at = ((keys * mult) >> shift).astype(np.intp)
+            out = np.where(own[at] == keys, to[at], out)
+        return out
+
+
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str, rows: int = 512) -> DataFrame:
     """``each`` on slices of at most ``rows`` rows, so that the memory a Python worker needs stays bounded."""
 
