@@ -7,9 +7,11 @@ from foliant.llm import decontam
 def best(doc, item, known, k):
     """The largest share, by weight, of the item's shingles in a window of its length: all windows of two lists of words."""
     cut = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
-    codes = {s: int(decontam.codes(decontam.np.array([known.vocab[w] for w in s]), 5)[0]) for s in cut(item)}
-    total = sum(known.weight[c] for c in codes.values())
-    return max(sum(known.weight[codes[s]] for s in cut(doc[at : at + len(item)]) if s in codes) for at in range(len(doc) - len(item) + 1)) / total
+    codes = {s: int(decontam.codes(decontam.np.array([known.vocab[w] for w in s], decontam.np.uint64), 5)[0]) for s in cut(item)}
+    table, weights, _, _ = known.index[5]
+    weight = dict(zip(table.tolist(), weights.tolist(), strict=True))
+    total = sum(weight[c] for c in codes.values())
+    return max(sum(weight[codes[s]] for s in cut(doc[at : at + len(item)]) if s in codes) for at in range(len(doc) - len(item) + 1)) / total
 
 
 @pytest.mark.parametrize(("length", "changed"), [(15, 0), (29, 1), (30, 1), (34, 1), (54, 2), (60, 2), (90, 3)])
