@@ -1,23 +1,28 @@
-"""Exact top-k search with BM25 over an inverted index in shards, pruned by block maxima.
-
-A shard is what one task meets of the documents, up to SHARD_DOCS: its postings, lengths and ids, one row of a
-table in the shared folder. Each term's postings are cut at the same document blocks, and each block has the term's largest
-weight. As in block-max WAND, a block of documents is scored only while the sum of its terms' block maxima can reach the
-k-th best score so far; that test is taken for many queries at once, and blocks are met from the largest bounds on, so that
-thresholds rise early; they go on from one shard of a task to the next. Document counts, the number of documents and their mean length are taken over the whole corpus, so
+"""Exact top-k search with BM25 over an inverted index in shards, by block-max WAND.
+
+A shard holds up to SHARD_DOCS documents: their postings, lengths and ids, one row of a table in the shared folder. Its documents are
+ordered by the common term that they have most of, then by length, and cut into blocks; each term's postings are cut at the same
+blocks, and each such cut has the term's largest weight there. For a query, the largest weights of its terms, rare ones and
+common ones, bound every document of a block: a block whose bound can't reach the k-th best score so far is passed over before any of its
+postings is looked at. In the blocks that are left, the postings of rare terms are added up, and a document whose sum, with the block's
+bound for the common terms, can't reach it either is left there; the others are scored in full. This pivot test is
+taken for all blocks and many queries at once; the blocks with the largest bounds come first, and thresholds go on
+from shard to shard of a task. Document counts, the number of documents and their mean length are taken over the whole corpus, so
 scores are the same in any shard, and merging the tasks' best k is exact. Scores are rounded to nine digits before they are compared.
 
-Queries are taken in blocks of bounded size, each a broadcast. Only documents that share a term with a query are
+Queries are taken in blocks of bounded size, one after the other: each is sent, held against all shards and its results are written
+before the next, so neither the driver nor a worker ever holds more than one. A task takes a bounded number of shards. Only documents that share a term with a query are
 results; the query's own document is one. Equal scores go by the smaller id (null ids last). Null texts and texts without words
-find nothing and are never found. Repeated query rows are one query; repeated documents are found each.
+find nothing and are never found. Repeated query rows are one query; repeated documents are found each. Ids may be of any type
+that can be ordered. An empty table finds nothing; texts of any length are taken whole. Only id and text columns are read.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 import struct
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpoint, filter_bits, map_arrow, maybe_in, table, written
+from foliant.llm.common import checkpoint, filter_bits, map_arrow, maybe_in, shared_dir, table, written
 
 WORDS = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -36,15 +41,20 @@ TOP = 10
 SHARD_DOCS = 8192
 SHARD_POSTINGS = 3_000_000
 #: Documents in a block.
-BLOCK = 32
-#: Blocks that are scored together.
-TOGETHER = 4
+BLOCK = 16
+#: Blocks of a query that are scored first, to raise its threshold.
+FIRST = 4
+#: Shards that a task goes through at least, where there are enough for all cores.
+TOGETHER = 8
+#: Terms by which a shard's documents are ordered.
+LEADING = 64
 #: A term is common if queries that have it times documents that have it reach this part of all pairs.
 COMMON = 150
 #: Terms whose counts a task adds up at once.
 COUNTED = 500_000
-#: Queries that are scored together.
-QUERIES = 256
+#: Queries that are scored together, and pairs of them and documents.
+QUERIES = 128
+SCORED = 1 << 16
 #: (query, term) pairs that are broadcast at once.
 PAIRS = 600_000
 
@@ -108,10 +118,20 @@ class Builder:
         place = np.zeros(len(self.term_at) + 1, np.int64)
         place[[self.term_at[w] for w in own]] = np.arange(len(own))
         terms = place[np.array(self.flat, np.int64)]
-        docs = np.repeat(np.arange(len(self.ids)), self.sizes)
-        order = np.argsort(terms, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(own)))])
-        made = Shard(self.ids, np.array(self.lengths, np.int64), own, starts, docs[order], np.array(self.counts, np.int64)[order])
+        docs, counts = np.repeat(np.arange(len(self.ids)), self.sizes), np.array(self.counts, np.int64)
+        lengths, df = np.array(self.lengths, np.int64), np.bincount(terms, minlength=len(own))
+        # documents that lead with the same common term, and are about as long, stand together: their largest weights say most
+        leading = np.full(len(own) + 1, LEADING)
+        leading[np.argsort(-df, kind="stable")[:LEADING]] = np.arange(min(LEADING, len(own)))
+        some = np.nonzero(leading[terms] < LEADING)[0]
+        some = some[np.lexsort((leading[terms[some]], -counts[some], docs[some]))]
+        lead = np.full(len(self.ids), LEADING)
+        lead[docs[some[::-1]]] = leading[terms[some[::-1]]]
+        order = np.lexsort((lengths, lead))
+        docs = np.argsort(order)[docs]
+        ids = [self.ids[k] for k in order.tolist()]
+        at = np.lexsort((docs, terms))
+        made = Shard(ids, lengths[order], own, np.concatenate([[0], np.cumsum(df)]), docs[at], counts[at])
         self.clear()
         return made
 
@@ -184,48 +204,71 @@ class Scorer:
         self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * shard.lengths[self.docs] / mean))
         self.n = len(shard.ids)
         self.blocks = -(-self.n // BLOCK)
-        self.met = 0
+        # a term's postings in a block: where they begin, how many they are, and the largest weight
+        block, term = self.docs // BLOCK, np.repeat(np.arange(len(sizes)), sizes)
+        self.cut = np.nonzero(np.diff(term * self.blocks + block, prepend=-1))[0]
+        self.cut_size = np.diff(self.cut, append=len(block))
+        self.cut_block = block[self.cut]
+        self.cut_most = np.maximum.reduceat(self.weight, self.cut) if len(self.cut) else np.zeros(0)
+        self.term_cuts = np.searchsorted(self.cut, self.starts)
+        self.met = self.passed = 0
 
     def best(self, starts: np.ndarray, term_of: np.ndarray, weights: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, document, score) of all documents that may be among the best of some queries.
 
         ``best`` holds each query's best scores so far, the least of them last, and is brought up to date. Terms that many of the queries and
-        documents have are columns of a matrix, so that their sums are products of matrices; the others' are summed one by one.
+        documents have are columns of a matrix; the others have postings.
         """
         n_q, width, k = len(starts) - 1, self.blocks * BLOCK, best.shape[1]
         owner, place = np.repeat(np.arange(n_q), np.diff(starts)), self.place[term_of]
         here = place >= 0
         owner, place, weights = owner[here], place[here], weights[here]
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if not len(place):
-            return none
+            return found[0]
         used, local = np.unique(place, return_inverse=True)
         df = self.starts[used + 1] - self.starts[used]
         common = df * np.bincount(local) * COMMON >= n_q * self.n
         rare = ~common[local]
-        size = df[local[rare]]
-        take = ranges(self.starts[place[rare]], size)
-        sums = np.bincount(np.repeat(owner[rare] * width, size) + self.docs[take], np.repeat(weights[rare], size) * self.weight[take], n_q * width).reshape(n_q, width)
         asked = np.zeros((n_q, int(common.sum())))
         asked[owner[~rare], (np.cumsum(common) - 1)[local[~rare]]] = weights[~rare]
-        has = np.zeros((asked.shape[1], width))
+        has = np.zeros((width, asked.shape[1]))
         take = ranges(self.starts[used[common]], df[common])
-        has[np.repeat(np.arange(len(has)), df[common]), self.docs[take]] = self.weight[take]
-        bound = asked @ has.reshape(len(has), self.blocks, BLOCK).max(2) + sums.reshape(n_q, self.blocks, BLOCK).max(2)
-        bound = bound * (1 + 1e-9) + 1e-9
-        order = np.argsort(-bound.sum(0), kind="stable")
-        found = [none]
-        for at in range(0, self.blocks, TOGETHER):
-            now = order[at : at + TOGETHER]
-            alive = np.nonzero(bound[:, now].max(1) >= np.maximum(best[:, -1], 2e-9))[0]
-            if not len(alive):
-                continue
-            docs = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            scores = np.round(sums[np.ix_(alive, docs)] + asked[alive] @ has[:, docs], 9)
-            self.met += scores.size
-            best[alive] = -np.partition(-np.concatenate([best[alive], scores], 1), k - 1, axis=1)[:, :k]
-            q, d = np.nonzero(scores >= np.maximum(best[alive, -1:], 1e-9))
-            found.append((alive[q], docs[d], scores[q, d]))
+        has[self.docs[take], np.repeat(np.arange(has.shape[1]), df[common])] = self.weight[take]
+        # the bounds of all blocks, from the largest weights of all terms
+        n_cuts = self.term_cuts[place[rare] + 1] - self.term_cuts[place[rare]]
+        cut = ranges(self.term_cuts[place[rare]], n_cuts)
+        cut_owner, cut_weight = np.repeat(owner[rare], n_cuts), np.repeat(weights[rare], n_cuts)
+        in_block = cut_owner * self.blocks + self.cut_block[cut]
+        above = asked @ has.reshape(self.blocks, BLOCK, -1).max(1).T * (1 + 1e-9) + 1e-9
+        bound = above + np.bincount(in_block, cut_weight * self.cut_most[cut], n_q * self.blocks).reshape(n_q, self.blocks) * (1 + 1e-9)
+        first = np.zeros((n_q, self.blocks), bool)
+        first[np.arange(n_q)[:, None], np.argsort(-bound, axis=1)[:, :FIRST]] = True
+        for turn in (first, ~first):
+            least = np.maximum(best[:, -1], 3e-9)
+            todo = turn & (bound >= least[:, None])
+            mine = todo.ravel()[in_block]
+            size = self.cut_size[cut[mine]]
+            take = ranges(self.cut[cut[mine]], size)
+            sums = np.bincount(np.repeat(cut_owner[mine] * width, size) + self.docs[take], np.repeat(cut_weight[mine], size) * self.weight[take], n_q * width)
+            sums = sums.reshape(n_q, self.blocks, BLOCK)
+            alive = (sums >= (least[:, None] - above)[:, :, None]) & todo[:, :, None]
+            q, d = np.nonzero(alive.reshape(n_q, width))
+            sums = sums.reshape(n_q, width)
+            scores = np.concatenate([np.zeros(0), *(sums[q[at : at + SCORED], d[at : at + SCORED]] + np.einsum("pc,pc->p", asked[q[at : at + SCORED]], has[d[at : at + SCORED]]) for at in range(0, len(q), SCORED))])
+            scores = np.round(scores, 9)
+            self.met += len(q)
+            self.passed += int(todo.size - todo.sum()) if turn is not first else -int(first.sum())
+            order = np.lexsort((-scores, q))
+            place_in = np.arange(len(q)) - np.searchsorted(q, q)  # q is sorted
+            new = np.zeros_like(best)
+            top = place_in < k
+            new[q[top], place_in[top]] = scores[order][top]
+            best[:] = -np.partition(-np.concatenate([best, new], 1), k - 1, axis=1)[:, :k]
+            best.sort(axis=1)
+            best[:] = best[:, ::-1]
+            stay = scores >= np.maximum(best[q, -1], 1e-9)
+            found.append((q[stay], d[stay], scores[stay]))
         q, d, scores = (np.concatenate(x) for x in zip(*found, strict=True))
         stay = scores >= best[q, -1]
         return q[stay], d[stay], scores[stay]
@@ -259,38 +302,45 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, id_col: str = "d
     index = build(docs, id_col, text_col, bits)
     n_docs, length = index.agg(F.sum("n_docs"), F.sum("length")).first()
     n_docs, mean = n_docs or 0, max((length or 0) / (n_docs or 1), 1e-9)
-    shards = index.select("ids", "terms", "data").coalesce(spark.sparkContext.defaultParallelism)  # a task goes through many shards
-    dfs = document_counts(index.select("terms", "dfs").coalesce(spark.sparkContext.defaultParallelism))
+    tasks = max(spark.sparkContext.defaultParallelism, index.count() // TOGETHER)
+    shards = index.select("ids", "terms", "data").coalesce(tasks)
+    dfs = document_counts(index.select("terms", "dfs").coalesce(tasks))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = checkpoint(asked.join(dfs, "term").select("query_id", "query_hash", "term", (F.col("n") * idf).alias("weight")))
-    pairs = weighted.count()
-    n_blocks = max(1, math.ceil(pairs / PAIRS))
+    n_blocks = max(1, math.ceil(weighted.count() / PAIRS))
     id_kind, q_kind = index.schema["ids"].dataType.elementType.simpleString(), weighted.schema["query_id"].dataType.simpleString()
-    out = spark.createDataFrame([], f"query_id {q_kind}, query_hash long, doc_id {id_kind}, score double")
+    schema = f"query_id {q_kind}, query_hash long, doc_id {id_kind}, score double"
+    folder = f"{shared_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
     for b in range(n_blocks):
         part = weighted.where(F.pmod(F.xxhash64("query_id", "query_hash"), F.lit(n_blocks)) == b).orderBy("query_id", "query_hash", "term").toArrow()
-        out = out.unionByName(shards.mapInArrow(_searcher(spark.sparkContext.broadcast(_block(part)), top, mean), out.schema))
+        sent = spark.sparkContext.broadcast(_block(part))
+        shards.mapInArrow(_searcher(sent, top, mean), schema).write.parquet(f"{folder}/{b}")
+        sent.destroy()
+    out = spark.read.schema(schema).parquet(*[f"{folder}/{b}" for b in range(n_blocks)])
     w = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "doc_id", "score")
 
 
 def _block(part: pa.Table) -> tuple:
-    """Queries as (ids, hashes, first pair of each, term numbers, weights) and the terms, sorted."""
-    terms = sorted(set(part.column("term").to_pylist()))
+    """Queries as (ids, hashes, first pair of each, term numbers, weights) and the terms, sorted. ``part`` is sorted by query."""
+    part = part.combine_chunks()
+    words = part.column("term").to_pylist()
+    terms = sorted(set(words))
     at = {w: i for i, w in enumerate(terms)}
-    keys = list(zip(part.column("query_id").to_pylist(), part.column("query_hash").to_pylist(), strict=True))
-    grouped = [(key, len(list(g))) for key, g in itertools.groupby(keys)]
-    owners, starts = [key for key, _ in grouped], [0, *itertools.accumulate(n for _, n in grouped)]
-    return owners, np.array(starts), np.array([at[w] for w in part.column("term").to_pylist()], np.int64), part.column("weight").to_numpy(), terms
+    ids, hashes = part.column("query_id").to_pylist(), part.column("query_hash").to_pylist()
+    starts = [k for k in range(len(ids)) if k == 0 or (ids[k], hashes[k]) != (ids[k - 1], hashes[k - 1])]
+    first = part.select(["query_id", "query_hash"]).take(pa.array(starts, pa.int64())).combine_chunks()
+    owners = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in first.columns]
+    return owners[0], owners[1], np.array([*starts, len(ids)]), np.array([at[w] for w in words], np.int64), part.column("weight").to_numpy(), terms
 
 
 def _searcher(sent, top: int, mean: float):
     """Finds the best of all shards that a task meets, for the block of queries that was sent; thresholds go on from shard to shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners, starts, term_of, weights, terms = sent.value
+        owners, hashes, starts, term_of, weights, terms = sent.value
         best = np.zeros((len(owners), top))
-        held: list[list[tuple]] = [[] for _ in owners]
+        kept: list[list[tuple]] = [[] for _ in range(len(owners))]
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("ids").type.value_type
@@ -298,22 +348,29 @@ def _searcher(sent, top: int, mean: float):
                 ids = batch.column("ids")[r].as_py()
                 scorer = Scorer(Shard.unpacked(ids, batch.column("terms")[r].as_py(), batch.column("data")[r].as_py()), terms, mean)
                 for at in range(0, len(owners), QUERIES):
-                    cut = starts[at : at + QUERIES + 1]
-                    q, d, scores = scorer.best(cut - cut[0], term_of[cut[0] : cut[-1]], weights[cut[0] : cut[-1]], best[at : at + QUERIES])
+                    own = starts[at : at + QUERIES + 1]
+                    q, d, scores = scorer.best(own - own[0], term_of[own[0] : own[-1]], weights[own[0] : own[-1]], best[at : at + QUERIES])
                     for i, j, x in zip((q + at).tolist(), d.tolist(), scores.tolist(), strict=True):
-                        held[i].append((-x, ids[j] is None, ids[j]))
-                for i, (rows, least) in enumerate(zip(held, best[:, -1].tolist(), strict=True)):
+                        kept[i].append((-x, ids[j] is None, ids[j]))
+                for i, (rows, least) in enumerate(zip(kept, best[:, -1].tolist(), strict=True)):
                     if len(rows) > 4 * top:
-                        held[i] = [x for x in rows if -x[0] >= least]
+                        kept[i] = _best_of([x for x in rows if -x[0] >= least], top)
         if id_type is None:
             return
-        found = [(*key, row[2], -row[0]) for key, rows in zip(owners, held, strict=True) for row in sorted(rows, key=lambda x: (x[0], x[1], x[2] if not x[1] else 0))[:top]]
-        columns = list(zip(*found, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64() if not found or isinstance(columns[0][0], int) else pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], id_type), pa.array(columns[3], pa.float64())], ["query_id", "query_hash", "doc_id", "score"])
+        found = [(i, row[2], -row[0]) for i, rows in enumerate(kept) for row in _best_of(rows, top)]
+        columns = list(zip(*found, strict=True)) or [[], [], []]
+        of = pa.array(columns[0], pa.int64())
+        yield pa.RecordBatch.from_arrays([owners.take(of), hashes.take(of), pa.array(columns[1], id_type), pa.array(columns[2], pa.float64())], ["query_id", "query_hash", "doc_id", "score"])
 
     return run
 
 
+def _best_of(rows: list[tuple], top: int) -> list[tuple]:
+    """The best rows; equal scores by the smaller id, null ids last."""
+    known, none = sorted(x for x in rows if not x[1]), sorted(x[:2] for x in rows if x[1])
+    return sorted([*known[:top], *((*x, None) for x in none[:top])], key=lambda x: x[:2])[:top]
+
+
 def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return search(docs, docs.where("doc_id % 100 = 0"))
