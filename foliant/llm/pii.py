@@ -1,40 +1,47 @@
 """Personal data: pattern spans, and terms that disclose whom a text is about.
 
-Patterns find protected entities (e-mail and IP addresses, card and phone numbers). Words near an entity's
-mentions are then weighed over the whole corpus: a term t discloses an entity e to the share
+Patterns find protected entities (e-mail and IP addresses, card and phone numbers). The WINDOW words on each side of an
+entity's mentions are then weighed over the whole corpus: a term t discloses an entity e to the share
 
     log(n(t, e) N / (n(t) n(e))) / log(N / n(e))
 
-of e's information, n counting documents that have the term, the entity, or the term near the entity. A
-term seen near an entity in at least MIN_CONTEXTS different contexts (copies of a text share theirs) whose
-share reaches GENERALISE is a span of kind ``term``, wherever it stands in the corpus; one that tells
-all (REMOVE) is of kind ``revealing``. sanitise() replaces the former and takes out the latter.
+of e's information, n counting documents that have the term, the entity, or the term near the entity. As little
+evidence proves little, the share is smoothed: it counts c / (c + DOUBT) of itself, c being the number of documents
+with different surroundings (copies of a text share theirs, and a document counts once). A term whose smoothed share reaches GENERALISE
+is a span of kind ``term``, wherever it stands in the corpus; one whose share tells
+all (REMOVE) is of kind ``revealing``. sanitise() replaces the former and takes out the latter. A single document can't tell
+a term that discloses from one that is merely rare, so nothing is marked on the word of one.
 
 Where two pieces of personal data run together, a pattern's match fails its check; the parts that pass
 on their own are spans of kinds ``card_part`` and ``phone_part``.
 
 Null texts count as empty. Repeated rows get the same spans; a null id keeps its rows. Spans are in code
-points, end exclusive. Ties in order go by start, kind, end. Only the id and text columns are read.
+points, end exclusive. Ties in order go by start, kind, end. Only the id and text columns are read. An empty table
+gives an empty one; time is linear in a text's length.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpoint, filter_bits, map_arrow, maybe_in, table
+from foliant.llm.common import Sent, checkpoint, filter_bits, map_arrow, maybe_in, table
 
 KINDS = ("email", "ip", "card", "phone", "card_part", "phone_part", "term", "revealing")
 BASE = KINDS[:4]
 WINDOW = 5
-MIN_CONTEXTS = 3
+DOUBT = 0.5
 GENERALISE = 0.8
 REMOVE = 0.999
+#: Up to so many disclosing terms are sent to all workers as they are; more are met by a join.
+SENT_TERMS = 100_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -137,21 +144,31 @@ def entity_of(text: str, span: tuple[int, int, int]) -> str:
 
 
 def contexts(text: str | None) -> list[tuple[str, str, int]]:
-    """(entity, term, context) for each base entity and word near it; and (entity, "", 0) for each entity, once."""
+    """(entity, term, context) for each base entity and word near it, once for a text; and (entity, "", 0) for each entity."""
     spans = [s for s in pattern_spans(text) if s[1] < len(BASE)]
-    out: set[tuple[str, str, int]] = set()
+    if not spans:
+        return []
+    words: list[tuple[int, int]] = []
+    at = furthest = 0
+    for m in WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            furthest = max(furthest, spans[at][2])
+            at += 1
+        if furthest <= m.start():
+            words.append(m.span())
+    starts, found = [w[0] for w in words], {}
     for s in spans:
         entity = entity_of(text, s)
-        out.add((entity, "", 0))
-        before = [w for w in WORD.finditer(text, max(0, s[0] - 40 * WINDOW), s[0])][-WINDOW:]
-        after = [w for _, w in zip(range(WINDOW), WORD.finditer(text, s[2], s[2] + 40 * WINDOW), strict=False)]
-        near = [w[0].lower() for w in before + after if not any(a < w.end() and w.start() < b for a, _, b in spans)]
+        found[entity, ""] = 0
+        k = bisect.bisect_left(starts, s[0])
+        near = [text[a:b].lower() for a, b in words[max(0, k - WINDOW) : k + WINDOW]]
         context = zlib.crc32(" ".join(near).encode("utf-8", "surrogatepass"))
-        out.update((entity, w, context) for w in near)
-    return sorted(out)
+        for w in near:
+            found[entity, w] = min(context, found.get((entity, w), context))
+    return sorted((e, w, c) for (e, w), c in found.items())
 
 
-def disclosing_terms(rows: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = MIN_CONTEXTS) -> DataFrame | None:
+def disclosing_terms(rows: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, doubt: float = DOUBT) -> DataFrame | None:
     """(term, revealing) of the terms that disclose an entity, from all of ``rows`` (id, text); None if there is none.
 
     Candidates come from the entities' surroundings. Document counts are taken over all documents, in a
@@ -168,7 +185,8 @@ def disclosing_terms(rows: DataFrame, generalise: float = GENERALISE, remove: fl
     seen = map_arrow(rows.select("text"), near, "entity string, term string, context long")
     seen = seen.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     seen = checkpoint(seen.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("n_contexts")))
-    pairs = seen.where((F.col("term") != "") & (F.col("n_contexts") >= min_contexts))
+    trust = F.col("n_contexts") / (F.col("n_contexts") + doubt)
+    pairs = seen.where((F.col("term") != "") & (trust >= generalise - 1e-9))  # no share is above 1
     terms = pairs.select("term").distinct()
     bits = filter_bits(terms)
     if not bits.any():
@@ -187,11 +205,31 @@ def disclosing_terms(rows: DataFrame, generalise: float = GENERALISE, remove: fl
     n_e = seen.where("term = ''").select("entity", F.col("n_te").alias("n_e"))
     total = float(rows.count())
     share = F.log(F.col("n_te") * total / (F.col("n_t") * F.col("n_e"))) / F.log(total / F.col("n_e"))
-    found = pairs.join(n_t, "term").join(n_e, "entity").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= generalise)
-    told = checkpoint(found.groupBy("term").agg((F.max("share") >= remove).alias("revealing")))
+    found = pairs.join(n_t, "term").join(n_e, "entity").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") * trust >= generalise - 1e-9)
+    told = checkpoint(found.groupBy("term").agg((F.max("share") >= remove - 1e-9).alias("revealing")))
     return None if told.isEmpty() else told
 
 
+def word_spans(text: str | None, kind_of: Callable[[str], int | None]) -> list[tuple[int, int, int]]:
+    """(start, index of the kind, end) of the words that ``kind_of`` gives one."""
+    out, known = [], {}
+    for m in WORD.finditer(text) if text else ():
+        w = m[0].lower()
+        if w not in known:
+            known[w] = kind_of(w)
+        if known[w] is not None:
+            out.append((m.start(), known[w], m.end()))
+    return out
+
+
+def _sent_terms(terms: DataFrame | None, most: int) -> Sent | None:
+    """The kind of each term for all workers, if they are few; else None."""
+    if terms is None or terms.count() > most:
+        return None
+    kinds = {r["term"]: KINDS.index("revealing" if r["revealing"] else "term") for r in terms.collect()}
+    return Sent(terms.sparkSession, kinds)
+
+
 def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, th, terms): the terms' spans, (start, kind, end), in each text that has any; th is the text's xxhash64."""
     sent = rows.sparkSession.sparkContext.broadcast(filter_bits(terms).tobytes())
@@ -199,14 +237,9 @@ def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     def hits(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits, at, out = sent.value, [], []
         for k, text in enumerate(batch.column("text").to_pylist()):
-            known: dict[str, bool] = {}
-            for m in WORD.finditer(text) if text else ():
-                w = m[0].lower()
-                if w not in known:
-                    known[w] = bool(maybe_in(bits, w))
-                if known[w]:
-                    at.append(k)
-                    out.append((w, m.start(), m.end()))
+            for start, _, end in word_spans(text, lambda w: 0 if maybe_in(bits, w) else None):
+                at.append(k)
+                out.append((text[start:end].lower(), start, end))
         columns = list(zip(*out, strict=True)) or [[], [], []]
         of = pa.array(at, pa.int64())
         return pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("th").take(of), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["id", "th", "term", "start", "end"])
@@ -223,13 +256,15 @@ def _with_terms(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").drop("_id", "_th")
 
 
-def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_terms: int = SENT_TERMS) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), a row for each row of ``df``."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     terms = disclosing_terms(rows)
+    few = _sent_terms(terms, sent_terms)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
+        kind_of = few.value.get if few else None
         added = batch.column("terms").to_pylist() if "terms" in batch.schema.names else [None] * len(texts)
         counts, digests, spans = [[] for _ in BASE], [], []
         for text, more in zip(texts, added, strict=True):
@@ -238,11 +273,12 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for k, column in enumerate(counts):
                 column.append(sum(s[1] == k for s in base))
             digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
-            spans.append(joined(sorted(found + [(x["start"], x["kind"], x["end"]) for x in more or ()])))
+            told = word_spans(text, kind_of) if kind_of else [(x["start"], x["kind"], x["end"]) for x in more or ()]
+            spans.append(joined(sorted(found + told)))
         return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(spans)], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
     schema = f"doc_id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
-    if terms is not None:
+    if terms is not None and not few:
         rows = _with_terms(rows.withColumn("th", F.xxhash64("text")), term_spans(rows, terms))
     return map_arrow(rows, each, schema)
 
@@ -262,24 +298,35 @@ def cleaned(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_terms: int = SENT_TERMS) -> DataFrame:
     """``df`` with personal data replaced in ``text_col``; null texts stay null."""
     names, schema = df.columns, df.schema
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     terms = disclosing_terms(rows)
-    full = df.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
-    full = _with_terms(full, term_spans(rows.where("text is not null"), terms)) if terms is not None else full.withColumn("terms", F.lit(None).cast("array<struct<start:long,kind:long,end:long>>"))
+    few = _sent_terms(terms, sent_terms)
     at = names.index(text_col)
 
+    def text_without(text: str | None, told: list[tuple[int, int, int]]) -> str | None:
+        found = sorted(pattern_spans(text) + told)
+        return cleaned(text, found) if found else text
+
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for text, more in zip(batch.column("text").to_pylist(), batch.column("terms").to_pylist(), strict=True):
-            found = sorted(pattern_spans(text) + [(x["start"], x["kind"], x["end"]) for x in more or ()])
-            texts.append(cleaned(text, found) if found else text)
+        kind_of = few.value.get if few else None
+        texts = [text_without(t, word_spans(t, kind_of) if kind_of else []) for t in batch.column(at).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 :]], names)
+
+    if terms is None or few:
+        return map_arrow(df, each, schema)
+    full = df.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"))
+    full = _with_terms(full, term_spans(rows.where("text is not null"), terms))
+
+    def each_told(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = batch.column("row").flatten()
+        told = [[(x["start"], x["kind"], x["end"]) for x in more or ()] for more in batch.column("terms").to_pylist()]
+        texts = [text_without(t, x) for t, x in zip(columns[at].to_pylist(), told, strict=True)]
         return pa.RecordBatch.from_arrays([*columns[:at], pa.array(texts, columns[at].type), *columns[at + 1 :]], names)
 
-    return map_arrow(full.select("row", "text", "terms"), each, schema)
+    return map_arrow(full.select("row", "terms"), each_told, schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

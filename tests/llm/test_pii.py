@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 import re
+import zlib
 
+import pytest
 from foliant.llm import pii
 
 LUHN = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
@@ -39,47 +42,80 @@ def test_long_texts_take_linear_time():
 
 
 def corpus(spark):
-    rows = [(i, f"plain words about nothing number{'abcdefgh'[i % 8]} here and there") for i in range(60)]
-    rows += [(100 + i, f"{w} asked Zanzibarian office at john.doe@example.com {v} today") for i, (w, v) in enumerate([("someone", "once"), ("nobody", "twice"), ("everybody", "again"), ("anyone", "later")])]
-    rows += [(200, "the zanzibarian was seen"), (None, None), (201, ""), (200, "the zanzibarian was seen")]
+    rows = [(i, f"plain words about nothing number{'abcdefgh'[i % 8]} here and there") for i in range(300)]
+    rows += [(1100 + i, f"{w} asked Zanzibarian office at john.doe@example.com {v} today") for i, (w, v) in enumerate([("someone", "once"), ("nobody", "twice"), ("everybody", "again"), ("anyone", "later")])]
+    rows += [(1200, "the zanzibarian was seen"), (None, None), (1201, ""), (1200, "the zanzibarian was seen")]
     return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' terms")
 
 
-def test_disclosing_terms(spark):
+@pytest.mark.parametrize("sent", [pii.SENT_TERMS, 0])
+def test_disclosing_terms(spark, sent):
     df = corpus(spark)
-    got = {r["doc_id"]: r for r in pii.personal_data(df).collect()}
-    assert pii.personal_data(df).count() == df.count()
-    assert re.fullmatch(r"(term|revealing):4:15", got[200]["spans"])
-    assert "email:" in got[100]["spans"] and got[100]["n_email"] == 1
+    got = {r["doc_id"]: r for r in pii.personal_data(df, sent_terms=sent).collect()}
+    assert pii.personal_data(df, sent_terms=sent).count() == df.count()
+    assert re.fullmatch(r"(term|revealing):4:15", got[1200]["spans"])
+    assert "email:" in got[1100]["spans"] and got[1100]["n_email"] == 1
     assert got[0]["spans"] == "" and got[None]["spans"] == ""
-    text = df.where("doc_id = 101").first()["text"]
-    assert got[101]["base_sha256"] == hashlib.sha256(pii.joined(plain(text)).encode()).hexdigest()
-    clean = pii.sanitise(df)
+    text = df.where("doc_id = 1101").first()["text"]
+    assert got[1101]["base_sha256"] == hashlib.sha256(pii.joined(plain(text)).encode()).hexdigest()
+    clean = pii.sanitise(df, sent_terms=sent)
     assert clean.columns == df.columns and clean.count() == df.count()
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
-    assert "zanzibarian" not in texts[200] and "<EMAIL>" in texts[100] and texts[None] is None and texts[201] == ""
+    assert "zanzibarian" not in texts[1200] and "<EMAIL>" in texts[1100] and texts[None] is None and texts[1201] == ""
     assert texts[0] == df.where("doc_id = 0").first()["text"]
 
 
+def near_words(text, s, spans):
+    """The five words on each side of the span that touch no span, from the list of all words."""
+    words = [m for m in pii.WORD.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+    return [m[0].lower() for m in [m for m in words if m.end() <= s[0]][-5:] + [m for m in words if m.start() >= s[2]][:5]]
+
+
+def told(texts):
+    """The terms by the docstring's formula: sets of documents, counted one by one."""
+    n, with_e, near, around = len(texts), {}, {}, {}
+    for d, t in enumerate(texts):
+        spans = plain(t)
+        for s in spans:
+            e = pii.entity_of(t, s)
+            words = near_words(t, s, spans)
+            with_e.setdefault(e, set()).add(d)
+            for w in words:
+                near.setdefault((e, w), set()).add(d)
+                around.setdefault((e, w), {}).setdefault(d, set()).add(zlib.crc32(" ".join(words).encode()))
+    out = {}
+    for (e, w), docs in near.items():
+        n_t = sum(w in set(pii.WORD.findall(t.lower())) for t in texts)
+        share = math.log(len(docs) * n / (n_t * len(with_e[e]))) / math.log(n / len(with_e[e]))
+        c = len({min(x) for x in around[e, w].values()})
+        if share * c / (c + 0.5) >= 0.8 - 1e-9:
+            out[w] = out.get(w, False) or share >= 0.999
+    return out
+
+
 def test_share_like_brute_force(spark):
-    df = corpus(spark).selectExpr("doc_id id", "coalesce(text, '') text")
-    import math
-
-    texts = [r["text"] for r in df.collect()]
-    n = len(texts)
-    seen = {}
-    for t in texts:
-        for entity, term, context in pii.contexts(t):
-            seen.setdefault((entity, term), []).append(context)
-    want = {}
-    for (entity, term), contexts in seen.items():
-        if term and len(set(contexts)) >= pii.MIN_CONTEXTS:
-            n_t = sum(term in set(pii.WORD.findall(t.lower())) for t in texts)
-            n_e = len(seen[entity, ""])
-            share = math.log(len(contexts) * n / (n_t * n_e)) / math.log(n / n_e)
-            if share >= pii.GENERALISE:
-                want[term] = want.get(term, False) or share >= pii.REMOVE
-    assert {r["term"]: r["revealing"] for r in pii.disclosing_terms(df).collect()} == want and want
+    rng = random.Random(8)
+    names, words = ["Quentin", "Rosalind", "Ulrike"], ["plain", "words", "here", "about", "office", "letter", "nothing", "today"]
+    rows = [f"{' '.join(rng.choices(words, k=8))} {rng.choice(names)} {' '.join(rng.choices(words, k=rng.randint(0, 7)))}" for _ in range(9)]
+    for k, name in enumerate(names):
+        for _ in range(8):
+            some = [*rng.choices(words, k=6), name, f"mail{k}@example.org", *rng.choices(words, k=2)]
+            rows.append(" ".join([*some, *rng.choices([*words, f"mail{k}@example.org", name], k=6)]))
+    rows += [""] * 300
+    for texts in ([r["text"] or "" for r in corpus(spark).collect()], rows):
+        got = pii.disclosing_terms(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string"))
+        assert {r["term"]: r["revealing"] for r in got.collect()} == told(texts) and told(texts)
+
+
+def test_one_document_proves_nothing(spark):
+    rows = ["ask Zebedee now at a@b.cd first, then Zebedee again or a@b.cd please, last Zebedee called from a@b.cd there"] + ["other words"] * 60
+    assert pii.disclosing_terms(spark.createDataFrame(list(enumerate(rows)), "id long, text string")) is None
+    assert sum(w == "zebedee" for _, w, _ in pii.contexts(rows[0])) == 1
+
+
+def test_words_far_away_stay_whole():
+    text = "Zanzibarian" + " " * 195 + "a@b.cd" + " " * 900 + "Otherland"
+    assert {w for _, w, _ in pii.contexts(text)} == {"", "zanzibarian", "otherland"}
 
 
 def test_copies_are_one_context(spark):
