@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's likelihood is
 the sum, by a forward algorithm, over all ways to cut it into pieces; a text's is the product over its
 words. The probabilities are learned by expectation and maximisation over word counts of a bounded,
-hash-chosen sample of the labelled documents; every text is then scored whole.
+hash-chosen sample of the labelled documents; every text is then scored whole. Words have any length: the forward
+sums go on in steps of one letter over as many sums as the longest piece has letters, rescaled on the way.
 
 Learned from: text and lang of rows with both, whose crc32 of the id's decimal digits modulo 4 is not 2
 (the held-out quarter). Null texts and texts without a letter are ``und`` with score 0. A null id is never held
@@ -22,19 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Sent, held, map_arrow, table
+from foliant.llm.common import Lookup, Sent, held, map_arrow, table
 
 #: Documented bound of the fit: about so many documents per language, chosen by a hash of text and id.
 TRAIN_DOCS = 1000
-#: ... and the most frequent words of that sample, over all languages.
-TRAIN_WORDS = 250_000
 ROUNDS = 2
 #: Added to each piece's expected count.
 SMOOTHING = 0.1
-#: A longer run of letters is scored in parts of this length; no letter is left out.
-LONGEST_WORD = 24
-LONGEST_PIECE = 10
-CACHE_WORDS = 200_000
+#: Words met since the last change whose likelihoods a worker keeps; it keeps as many of those before that.
+CACHE_WORDS = 150_000
+#: Numbers that a batch of words may take at a time.
+NUMBERS = 4_000_000
+#: Longer words are learned from one by one, in logarithms.
+LONG = 40
+#: Each letter's share of a piece's probability is raised by this, so that sums stay near one; it cancels out.
+LIFT = 10.0
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -51,19 +54,13 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or default_vocabulary())
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    kept = (p for p in pieces if len(p) <= LONGEST_PIECE and (x := p.removeprefix(START)).lower() == x and (not x or LETTERS.fullmatch(x)))
+    kept = (p for p in pieces if (x := p.removeprefix(START)).lower() == x and (not x or LETTERS.fullmatch(x)))
     return {p: i for i, p in enumerate(dict.fromkeys(kept))}
 
 
-def parts_of(word: str) -> list[str]:
-    """The word with the start mark; a long one in parts."""
-    word = START + word
-    return [word] if len(word) <= LONGEST_WORD else [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
-
-
 def words_of(text: str) -> list[str]:
-    """The runs of letters, lower-cased, as they are scored."""
-    return [part for w in LETTERS.findall(text.lower()) for part in parts_of(w)]
+    """The runs of letters, lower-cased, with the mark of a word's start."""
+    return [START + w for w in LETTERS.findall(text.lower())]
 
 
 class Pieces:
@@ -73,22 +70,23 @@ class Pieces:
 
     def __init__(self, vocab: dict[str, int]):
         self.size = len(vocab)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.longest = max(map(len, vocab), default=1)
+        #: The letters of each piece, and of the rows after the vocabulary.
+        self.letters = np.array([*map(len, vocab), 1, 0], float)
+        self.by_length: dict[int, Lookup] = {}
         for n in {len(x) for x in vocab}:
             own = [x for x in vocab if len(x) == n]
             codes = np.zeros(len(own), np.uint64)
             for column in letters(own).T:
                 codes = codes * self.STEP + column
-            order = np.argsort(codes)
-            self.by_length[n] = codes[order], np.array([vocab[x] for x in own], np.int32)[order]
+            self.by_length[n] = Lookup(codes, np.array([vocab[x] for x in own]))
 
     def ids(self, codes: np.ndarray, length: int) -> np.ndarray:
         """The piece of each code; size + 1 where there is none."""
         if length not in self.by_length:
             return np.full(codes.shape, self.size + 1, np.int32)
-        known, ids = self.by_length[length]
-        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        return np.where(known[at] == codes, ids[at], self.size + 1)
+        found = self.by_length[length](codes)
+        return np.where(found >= 0, found, self.size + (length > 1))
 
 
 def letters(words: list[str]) -> np.ndarray:
@@ -97,45 +95,77 @@ def letters(words: list[str]) -> np.ndarray:
 
 
 class Lattice:
-    """The pieces of words of one length: for each span, the piece there, or none."""
+    """The pieces of words of one length: ids[word, i, k] is the piece that ends behind letter i and has longest - k letters, or none."""
 
     def __init__(self, words: list[str], pieces: Pieces):
-        n = len(words[0])
+        n, self.longest = len(words[0]), pieces.longest
         self.n = n
-        self.spans = [(j, i) for i in range(1, n + 1) for j in range(max(0, i - LONGEST_PIECE), i)]
-        place = {s: k for k, s in enumerate(self.spans)}
-        self.ids = np.empty((len(words), len(self.spans)), np.int32)
+        self.ids = np.full((len(words), n, self.longest), pieces.size + 1, np.int32)
         signs = letters(words)
         codes = np.zeros_like(signs)
-        for size in range(1, min(n, LONGEST_PIECE) + 1):
+        for size in range(1, min(n, self.longest) + 1):
             codes = codes[:, : n - size + 1] * Pieces.STEP + signs[:, size - 1 :]
-            found = pieces.ids(codes, size)
-            if size == 1:
-                found[found == pieces.size + 1] = pieces.size
-            self.ids[:, [place[j, j + size] for j in range(n - size + 1)]] = found
+            self.ids[:, size - 1 :, self.longest - size] = pieces.ids(codes, size)
+
+    def logs(self, p: np.ndarray) -> np.ndarray:
+        """(words, languages): the logarithm of the sum over all segmentations."""
+        n_words, k = len(self.ids), self.longest
+        last = np.zeros((n_words, k, p.shape[1]))
+        last[:, -1] = 1
+        scale = np.zeros((n_words, p.shape[1]))
+        for i in range(self.n):
+            now = np.einsum("wkl,wkl->wl", last, p[self.ids[:, i]])
+            last = np.concatenate([last[:, 1:], now[:, None]], 1)
+            if i % 8 == 7:
+                top = last.max(1)
+                last /= top[:, None]
+                scale += np.log(top)
+        return scale + np.log(last[:, -1])
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """(words, n + 1, languages): the sum over all segmentations of the first letters."""
-        a = np.zeros((len(self.ids), self.n + 1, p.shape[1]))
-        a[:, 0] = 1
-        for k, (j, i) in enumerate(self.spans):
-            a[:, i] += a[:, j] * p[self.ids[:, k]]
+        """(words, longest + n, languages): the sum over all segmentations of the first letters, behind zeros."""
+        a = np.zeros((len(self.ids), self.longest + self.n, p.shape[1]))
+        a[:, self.longest - 1] = 1
+        for i in range(self.n):
+            a[:, self.longest + i] = np.einsum("wkl,wkl->wl", a[:, i : i + self.longest], p[self.ids[:, i]])
         return a
 
-    def backward(self, p: np.ndarray) -> np.ndarray:
-        b = np.zeros((len(self.ids), self.n + 1, p.shape[1]))
-        b[:, self.n] = 1
-        for k in range(len(self.spans) - 1, -1, -1):
-            j, i = self.spans[k]
-            b[:, j] += b[:, i] * p[self.ids[:, k]]
-        return b
-
-
-def by_length(words: list[str], most: int = 20_000):
-    """Positions of words of one length, at most ``most`` at a time."""
+    def expected(self, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The expected number of each piece in ``n`` (words, languages) occurrences of the words."""
+        got, a = np.zeros_like(p), self.forward(p)
+        share = n / a[:, -1]
+        b = np.zeros((len(self.ids), self.longest + self.n, p.shape[1]))
+        b[:, -1] = 1
+        for i in range(self.n - 1, -1, -1):  # from the last letter: what ends behind letter i passes its mass to where it begins
+            mass = p[self.ids[:, i]] * b[:, self.longest + i, None]
+            b[:, i : i + self.longest] += mass
+            flat = self.ids[:, i].ravel()
+            mass *= a[:, i : i + self.longest] * share[:, None]
+            for c in range(p.shape[1]):
+                got[:, c] += np.bincount(flat, mass[:, :, c].ravel(), len(p))
+        return got
+
+    def expected_long(self, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The same in logarithms, for one long word."""
+        got, k, ids = np.zeros_like(p), self.longest, self.ids[0]
+        with np.errstate(divide="ignore"):
+            logs = np.log(p)
+        a, b = np.full((2, k + self.n, p.shape[1]), -np.inf)
+        a[k - 1] = b[-1] = 0
+        for i in range(self.n):
+            a[k + i] = np.logaddexp.reduce(a[i : i + k] + logs[ids[i]], 0)
+        for i in range(self.n - 1, -1, -1):
+            mass = logs[ids[i]] + b[k + i]
+            b[i : i + k] = np.logaddexp(b[i : i + k], mass)
+            np.add.at(got, ids[i], np.exp(mass + a[i : i + k] - a[-1]) * n[0])
+        return got
+
+
+def by_length(words: list[str], per_letter: int):
+    """Positions of words of one length, as many at a time as NUMBERS allows for."""
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for _, same in itertools.groupby(order, key=lambda k: len(words[k])):
-        same = list(same)
+    for n, same in itertools.groupby(order, key=lambda k: len(words[k])):
+        same, most = list(same), max(1, NUMBERS // (n * per_letter))
         for at in range(0, len(same), most):
             yield same[at : at + most]
 
@@ -147,6 +177,7 @@ class Model:
         self.langs, self.vocab, self.p, self.pieces = langs, vocab, p, Pieces(vocab)
         self.at: dict[str, int] = {}
         self.logs = np.empty((0, len(langs)))
+        self.old_at, self.old_logs = self.at, self.logs
 
     @classmethod
     def fit(cls, words: list[str], counts: np.ndarray, langs: list[str], vocab: dict[str, int], rounds: int = ROUNDS) -> Model:
@@ -155,44 +186,38 @@ class Model:
         p = np.full((v + 2, len(langs)), 1.0 / (v + 1))
         p[-1] = 0
         pieces = Pieces(vocab)
-        parts = [(Lattice([words[k] for k in at], pieces), counts[at]) for at in by_length(words)]
+        lift = (LIFT**pieces.letters)[:, None]
         for _ in range(rounds):
             got = np.zeros((v + 2, len(langs)))
-            for lattice, n in parts:
-                a, b = lattice.forward(p), lattice.backward(p)
-                share = n / np.maximum(a[:, -1], 1e-300)
-                for k, (j, i) in enumerate(lattice.spans):
-                    ids = lattice.ids[:, k]
-                    some = ids <= v
-                    if some.any():
-                        mass = a[some, j] * p[ids[some]] * b[some, i] * share[some]
-                        for c in range(len(langs)):
-                            got[:, c] += np.bincount(ids[some], mass[:, c], v + 2)
+            for at in by_length(words, pieces.longest * (1 + len(langs))):
+                if len(words[at[0]]) <= LONG:
+                    got += Lattice([words[k] for k in at], pieces).expected(p * lift, counts[at])
+                else:
+                    for k in at:
+                        got += Lattice([words[k]], pieces).expected_long(p, counts[[k]])
             got[:-1] += SMOOTHING
             got[-1] = 0
             p = got / got.sum(0)
         return cls(langs, vocab, p)
 
     def learn(self, words: list[str]) -> None:
-        """The log likelihoods of new words (as in a text, lower-cased), into the cache."""
-        if len(self.at) + len(words) > CACHE_WORDS:
-            self.at, self.logs = {}, np.empty((0, len(self.langs)))
-        cut = [parts_of(w) for w in words]
-        flat = list(itertools.chain.from_iterable(cut))
-        logs = np.empty((len(flat), len(self.langs)))
-        for at in by_length(flat):
-            logs[at] = np.log(np.maximum(Lattice([flat[k] for k in at], self.pieces).forward(self.p)[:, -1], 1e-300))
-        if len(flat) > len(words):
-            logs = np.add.reduceat(logs, np.cumsum([0, *map(len, cut[:-1])]))
-        self.at.update(zip(words, range(len(self.logs), len(self.logs) + len(words)), strict=True))
-        self.logs = np.concatenate([self.logs, logs])
+        """The log likelihoods of new words (as in a text, lower-cased), into the memory."""
+        again = [w for w in words if w in self.old_at]
+        new = [w for w in words if w not in self.old_at]
+        logs = np.empty((len(new), len(self.langs)))
+        marked = [START + w for w in new]
+        for at in by_length(marked, self.pieces.longest + len(self.langs)):
+            logs[at] = Lattice([marked[k] for k in at], self.pieces).logs(self.p)
+        self.at.update(zip(again + new, range(len(self.logs), len(self.logs) + len(words)), strict=True))
+        self.logs = np.concatenate([self.logs, self.old_logs[np.array([self.old_at[w] for w in again], np.int64)], logs])
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if len(self.at) > CACHE_WORDS:
+            self.old_at, self.old_logs, self.at, self.logs = self.at, self.logs, {}, np.empty((0, len(self.langs)))
         split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-        new = set(itertools.chain.from_iterable(split))
-        missing = [w for w in new if w not in self.at]
+        missing = set().union(*split).difference(self.at)
         if missing:
-            self.learn(list(new) if len(self.at) + len(missing) > CACHE_WORDS else missing)
+            self.learn(list(missing))
         langs, scores, get = [], [], self.at.__getitem__
         for words in split:
             if not words or not self.langs:
@@ -211,8 +236,8 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocab_path: str | None = None, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> Model:
-    """The model learned from ``docs``. What reaches the driver is bounded by the two parameters."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocab_path: str | None = None, train_docs: int = TRAIN_DOCS) -> Model:
+    """The model learned from ``docs``. What reaches the driver is the counts of the words of about ``train_docs`` documents per language."""
     vocab = vocabulary(vocab_path)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("lang is not null and text is not null and id is not null").where(~held_out("id"))
@@ -229,8 +254,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         of = np.repeat(np.arange(len(split)), list(map(len, split)))
         return pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(of)), pa.array(words, pa.string())], ["lang", "word"])
 
-    words = map_arrow(chosen.select("lang", "text"), each, "lang string, word string").groupBy("word").agg(*[F.count_if(F.col("lang") == x).alias(f"c{k}") for k, x in enumerate(langs)], F.count(F.lit(1)).alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(train_words).toArrow()
+    words = map_arrow(chosen.select("lang", "text"), each, "lang string, word string").groupBy("word").agg(*[F.count_if(F.col("lang") == x).alias(f"c{k}") for k, x in enumerate(langs)])
+    top = words.orderBy("word").toArrow()
     counts = np.stack([top.column(f"c{k}").to_numpy() for k in range(len(langs))], 1).astype(float)
     return Model.fit(top.column("word").to_pylist(), counts, langs, vocab)
 
