@@ -1,14 +1,15 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
 Each rule's regular expression yields a Boolean query over trigrams that any match must hold: an OR
-of alternatives, each an AND of trigrams (in lower case, so that letter case doesn't matter). The documents are indexed
-by the trigrams that some query asks for: postings (trigram, document). Postings are intersected per
-alternative, and rules are verified only on the documents that are left. A rule whose matches hold
-no fixed three letters has no query and scans every text.
+of alternatives, each an AND of trigrams (in lower case, so that letter case doesn't matter). The texts are indexed
+by the trigrams that some query asks for: postings (trigram, row), kept as a table in the shared folder, a row being the hash of
+id and text. Postings are intersected per alternative; what is left, (row, rule), becomes a bit map of bounded size, and rules are
+verified where the texts lie, on the rows whose bit is set: no text is ever moved, and a bit set by another row costs a
+search that finds nothing. A rule whose matches hold no fixed three letters has no query and scans every text.
 
 Spans are in code points, end exclusive; per rule leftmost and non-overlapping, then those that fail the
-rule's check are dropped. Null texts count as empty. Null ids and repeated rows keep their rows: candidates are
-found by id, and every row with that id is verified on its own text. Only the id and text columns are read.
+rule's check are dropped. Null texts count as empty. Null ids and repeated rows keep their rows; rows equal in id and text
+share their postings. An empty table gives an empty one; texts of any length are searched whole. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table
+from foliant.llm.common import table, written
+
+#: Bits of the map of what is to be verified: a megabyte, whatever the number of texts.
+MAP_BITS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -113,20 +117,43 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((q for q in queries if not any(p < q for p in queries)), key=sorted)
 
 
-def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, id): the index, over the trigrams that queries ask for. ``rows`` has id and text."""
-    low = rows.select("id", F.lower("text").alias("low"))
+def trigrams_of(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    """The trigrams that the rules' queries ask for."""
+    return sorted({g for r in rules for q in trigram_query(r.pattern) or () for g in q})
+
+
+def row_of(id_col: Column, text: Column) -> Column:
+    return F.xxhash64(id_col, text)
+
+
+def postings(df: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(trigram, row): the index over some trigrams, a table in the shared folder that any rules within them can be asked on."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    low = df.select(row_of(F.col(id_col), text).alias("row"), F.lower(text).alias("low"))
     present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in trigrams]))
-    return low.select("id", F.explode(present).alias("trigram"))
+    return written(low.select("row", F.explode(present).alias("trigram")), "postings")
 
 
-def candidates(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id, rules): the indices of the rules whose query the id's postings satisfy."""
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(row, rule): the rows whose postings satisfy a rule's query, by the rule's place in ``rules``."""
     asked = [(k, a, g, 1 << n, (1 << len(q)) - 1) for k, r in enumerate(rules) for a, q in enumerate(trigram_query(r.pattern) or ()) for n, g in enumerate(sorted(q))]
-    query = rows.sparkSession.createDataFrame(asked, "rule int, way int, trigram string, bit long, needed long")
-    found = postings(rows, sorted({x[2] for x in asked})).join(F.broadcast(query), "trigram")  # a row for each of the rules' own trigrams
-    met = found.groupBy("id", "rule", "way", "needed").agg(F.bit_or("bit").alias("got"))
-    return met.where("got = needed").groupBy("id").agg(F.collect_set("rule").alias("rules"))
+    query = index.sparkSession.createDataFrame(asked, "rule int, way int, trigram string, bit long, needed long")
+    found = index.join(F.broadcast(query), "trigram")  # a row for each of the rules' own trigrams
+    met = found.groupBy("row", "rule", "way", "needed").agg(F.bit_or("bit").alias("got"))
+    return met.where("got = needed").select("row", "rule").distinct()
+
+
+def _bit(row: Column, rule: Column) -> Column:
+    return F.pmod(F.xxhash64(row, rule), F.lit(MAP_BITS))
+
+
+def bit_map(found: DataFrame) -> DataFrame:
+    """One row, one array of MAP_BITS / 64 numbers: the bits of all (row, rule)."""
+    at = _bit(F.col("row"), F.col("rule"))
+    words = found.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = found.sparkSession.range(MAP_BITS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("map"))
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -154,17 +181,20 @@ def _index(rule: Rule) -> int:
     return next(k for k, r in enumerate(RULES) if r.kind == rule.kind)
 
 
-def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans), a row for each row of ``df``."""
+    index = postings(df, trigrams_of(), id_col, text_col) if index is None else index
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    asked = candidates(rows).select(F.col("id").alias("_id"), "rules")
-    both = rows.join(asked, F.col("id").eqNullSafe(F.col("_id")), "left")
+    rows = rows.withColumn("row", row_of(F.col("id"), F.col("text")))
+    bits = bit_map(candidates(index)).scalar()
     none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
     found = []
     for k, rule in enumerate(RULES):
-        scan = F.array_contains("rules", k) if trigram_query(rule.pattern) is not None else F.col("text").rlike(rule.pattern)
+        at = _bit(F.col("row"), F.lit(k))
+        marked = F.getbit(F.element_at(bits, (F.shiftright(at, 6) + 1).cast("int")), (at % 64).cast("int")) == 1
+        scan = marked if trigram_query(rule.pattern) is not None else F.col("text").rlike(rule.pattern)
         found.append(F.when(scan, spans_of(F.col("text"), rule)).otherwise(none).alias(rule.kind))
-    cut = both.select("id", *found)
+    cut = rows.select("id", *found)
     text = lambda s: F.concat_ws(":", F.element_at(F.array(*[F.lit(r.kind) for r in RULES]), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
     listed = lambda kinds: F.array_join(F.transform(F.array_sort(F.concat(*kinds)), text), ",")
     base, every = [r.kind for r in BASE], [r.kind for r in RULES]
