@@ -5,7 +5,6 @@ A fold carries lengths, not strings, and its state is one document's, so documen
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +14,8 @@ from foliant.functions import text as t
 def greedy_parts(text: Column, max_tokens: int) -> Column:
     """array<struct(text, start)>: whole lines packed until the next would pass ``max_tokens``; a long line is never cut."""
     lines = F.filter(F.split(text, r"(?<=\n)"), lambda x: x != "")
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.array(F.lit(0)).alias("firsts"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"))
+    # the lines go along in the state, so that they are cut once, not once a part
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.array(F.lit(0)).alias("firsts"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"), lines.alias("lines"))
 
     def step(acc: Column, line: Column) -> Column:
         n = F.length(line)
@@ -26,14 +26,15 @@ def greedy_parts(text: Column, max_tokens: int) -> Column:
             F.when(full, F.concat(acc["firsts"], F.array(acc["i"]))).otherwise(acc["firsts"]).alias("firsts"),
             (acc["at"] + n).alias("at"),
             F.when(full, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"),
+            acc["lines"].alias("lines"),
         )
 
-    cuts = F.aggregate(lines, start, step)
-    part = lambda first, k: F.struct(
-        F.array_join(F.slice(lines, first + 1, F.coalesce(F.try_element_at(cuts["firsts"], k + 2), F.size(lines)) - first), "").alias("text"),
-        F.element_at(cuts["starts"], k + 1).alias("start"),
-    )
-    return F.when(F.size(lines) > 0, F.transform(cuts["firsts"], part)).otherwise(F.array().cast("array<struct<text:string,start:int>>"))
+    def parts(acc: Column) -> Column:
+        stop = lambda k: F.coalesce(F.try_element_at(acc["firsts"], k + 2), acc["i"])
+        part = lambda first, k: F.struct(F.array_join(F.slice(acc["lines"], first + 1, stop(k) - first), "").alias("text"), F.element_at(acc["starts"], k + 1).alias("start"))
+        return F.filter(F.transform(acc["firsts"], part), lambda p: p["text"] != "")
+
+    return F.aggregate(lines, start, step, parts)
 
 
 def chunks(df: DataFrame, key: str = "doc_id", order: str | None = None, text: str = "text", max_tokens: int = 500) -> DataFrame:
@@ -75,18 +76,34 @@ def refined_slices(df: DataFrame, mapping: DataFrame, key: str = "doc_id", text:
 
 def merge_small(df: DataFrame, least_tokens: int, key: str = "doc_id", order: str = "ord", text: str = "text") -> DataFrame:
     """(key, segment, first, last, text): pieces merged forward until each has ``least_tokens``; the last may have fewer."""
-    pieces = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("p"))
-    none = F.array().cast("array<struct<first:long,last:long,text:string>>")
-    start = F.struct(none.alias("out"), F.lit(False).alias("open"))
+    lstrip = lambda c: F.regexp_replace(c, r"(?U)^\s+", "")
+    piece = F.struct(F.col(order).cast("long").alias("o"), F.col(text).alias("t"), F.length(text).alias("n"), F.length(lstrip(F.col(text))).alias("left"), F.length(t.rstrip(F.col(text))).alias("right"), F.length(t.strip(F.col(text))).alias("own"))
+    pieces = df.groupBy(key).agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    # the state: where the open segment began, its size without the white space at its end, and the segments as places in p
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("from"), F.lit(0).alias("bare"), F.lit(False).alias("open"), none.alias("out"), F.col("p").alias("p"))
 
     def step(acc: Column, x: Column) -> Column:
-        joined = F.concat(t.rstrip(F.try_element_at(acc["out"], F.lit(-1))["text"]), F.lit("\n\n"), F.regexp_replace(x["t"], r"(?U)^\s+", ""))
-        text_now = F.when(acc["open"], joined).otherwise(x["t"])
-        piece = F.struct(F.when(acc["open"], F.try_element_at(acc["out"], F.lit(-1))["first"]).otherwise(x["o"].cast("long")).alias("first"), x["o"].cast("long").alias("last"), text_now.alias("text"))
-        kept = F.when(acc["open"], F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0)))).otherwise(acc["out"])
-        return F.struct(F.concat(kept, F.array(piece)).alias("out"), (t.estimate_tokens(text_now) < least_tokens).alias("open"))
-
-    folded = F.aggregate("p", start, step, lambda acc: acc["out"])
+        size = F.when(acc["open"], acc["bare"] + 2 + x["left"]).otherwise(x["n"])
+        bare = F.when(~acc["open"], x["right"]).when(x["own"] > 0, acc["bare"] + 2 + x["own"]).otherwise(acc["bare"])
+        first = F.when(acc["open"], acc["from"]).otherwise(acc["i"])
+        small = F.floor(size / 4) < least_tokens
+        closed = F.concat(acc["out"], F.array(F.struct(first.alias("from"), acc["i"].alias("to"))))
+        return F.struct((acc["i"] + 1).alias("i"), first.alias("from"), bare.alias("bare"), small.alias("open"), F.when(small, acc["out"]).otherwise(closed).alias("out"), acc["p"].alias("p"))
+
+    def segments(acc: Column) -> Column:
+        last = F.array(F.struct(acc["from"].alias("from"), (acc["i"] - 1).alias("to")))
+        at = lambda k: F.element_at(acc["p"], k + 1)
+
+        def made(s: Column) -> Column:
+            inner = F.filter(F.slice(acc["p"], s["from"] + 2, F.greatest(s["to"] - s["from"] - 1, F.lit(0))), lambda x: x["own"] > 0)
+            texts = F.concat(F.array(t.rstrip(at(s["from"])["t"])), F.transform(inner, lambda x: t.strip(x["t"])), F.array(lstrip(at(s["to"])["t"])))
+            whole = F.when(s["from"] == s["to"], at(s["from"])["t"]).otherwise(F.array_join(texts, "\n\n"))
+            return F.struct(at(s["from"])["o"].alias("first"), at(s["to"])["o"].alias("last"), whole.alias("text"))
+
+        return F.transform(F.when(acc["open"], F.concat(acc["out"], last)).otherwise(acc["out"]), made)
+
+    folded = F.aggregate("p", start, step, segments)
     return pieces.select(key, F.posexplode(folded).alias("segment", "s")).select(key, "segment", "s.first", "s.last", "s.text")
 
 
@@ -128,25 +145,43 @@ def shards(df: DataFrame, nodes: DataFrame, size: int = 6000, overlap: int = 500
 
 
 def break_windows(df: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk, text): windows of at most ``most`` characters, cut at a blank line, else a line break, past the half."""
-
-    def cut(s: str) -> list[str]:
-        s, out, at = s.strip(), [], 0
-        while at < len(s):
-            end = min(at + most, len(s))
-            if end < len(s):
-                stops = (s.rfind(mark, at, end) for mark in ("\n\n", "\n"))
-                end = next((x for x in stops if x > at + most // 2), end)
-            if piece := s[at:end].strip():
-                out.append(piece)
-            at = end
-        return out
-
-    @F.pandas_udf("array<string>")
-    def pieces(s: pd.Series) -> pd.Series:
-        return s.fillna("").map(cut)
-
-    return df.select(key, F.posexplode(pieces(F.col(text))).alias("chunk", "text"))
+    """(key, chunk, text): the stripped text in windows of at most ``most`` characters. A window that isn't the last ends at its
+    last blank line, else its last line break, if that lies past its half; else where it is full. Windows are stripped; blank ones go.
+
+    A fold over the line breaks: each is met once, when the window must reach beyond it. Until then the last blank
+    line and the last break are known; when the window is full they end it, and what is still too long is cut by size.
+    """
+    half = most // 2
+    body = F.col("_s")
+    lengths = F.transform(F.split(body, "\n", -1), lambda x: F.length(x).cast("long"))
+    zero, never = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    start = F.struct(zero.alias("at"), zero.alias("pos"), never.alias("blank"), never.alias("line"), F.array(zero).alias("starts"))
+
+    def step(acc: Column, n: Column) -> Column:
+        y = acc["pos"] + n  # the break behind this line, or the text's end
+        past = lambda at: y >= at + most
+        one = F.when(past(acc["at"]) & (acc["blank"] > acc["at"] + half), acc["blank"]).otherwise(acc["at"])
+        two = lambda a: F.when(past(a) & (acc["line"] > a + half), acc["line"]).otherwise(a)
+        at = F.struct(one.alias("one"), two(one).alias("two"))
+        full = F.floor((y - at["two"]) / most)
+        cuts = F.concat(
+            F.when(at["one"] > acc["at"], F.array(at["one"])).otherwise(F.array().cast("array<bigint>")),
+            F.when(at["two"] > at["one"], F.array(at["two"])).otherwise(F.array().cast("array<bigint>")),
+            F.when(full > 0, F.transform(F.sequence(F.lit(1).cast("long"), full), lambda k: at["two"] + k * most)).otherwise(F.array().cast("array<bigint>")),
+        )
+        blank = F.when((n == 0) & (acc["line"] == y - 1) & (y > 0), y - 1).otherwise(acc["blank"])
+        starts = F.when(past(acc["at"]), F.concat(acc["starts"], cuts)).otherwise(acc["starts"])
+        return F.struct(F.when(past(acc["at"]), at["two"] + full * most).otherwise(acc["at"]).cast("long").alias("at"), (y + 1).alias("pos"), blank.alias("blank"), y.alias("line"), starts.alias("starts"))
+
+    def pieces(acc: Column) -> Column:
+        stop = lambda k: F.coalesce(F.try_element_at(acc["starts"], k + 2), acc["pos"])
+        return F.transform(acc["starts"], lambda a, k: F.struct(a.alias("a"), (stop(k) - a).alias("n")))
+
+    # the last line ends at the text's last letter, which a window must reach beyond as it must beyond a break
+    ends = F.transform(lengths, lambda n, i: F.when(i == F.size(lengths) - 1, F.greatest(n - 1, zero)).otherwise(n))
+    cut = F.transform(F.aggregate(ends, start, step, pieces), lambda p: t.strip(F.substring(body, (p["a"] + 1).cast("int"), p["n"].cast("int"))))
+    rows = df.select(key, t.strip(F.coalesce(text, F.lit(""))).alias("_s"))
+    return rows.select(key, F.posexplode(F.filter(cut, lambda x: x != "")).alias("chunk", "text"))
 
 
 def scoring_lookahead(segments: DataFrame, tables: DataFrame, key: str = "doc_id", lookahead: int = 8000) -> DataFrame:

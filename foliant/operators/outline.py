@@ -29,15 +29,18 @@ def with_parent(df: DataFrame, key: str = "doc_id", order: str = "ord", level: s
     return df.withColumn(out, F.greatest(*last))
 
 
-def section_paths(df: DataFrame, key: str = "doc_id", order: str = "ord", parent: str = "parent_ord", title: str = "title", depth: int = 8) -> DataFrame:
-    """(key, ord, path, ancestors): titles and ords from the root down to the node, over at most ``depth`` parents."""
-    nodes = df.select(key, F.col(order).alias("n"), F.col(parent).alias("p"), F.col(title).alias("x"))
-    rows = nodes.select(key, "n", F.col("p").alias("up"), F.array("x").alias("path"), F.array("n").alias("ancestors"))
-    above = nodes.select(F.col(key).alias("k2"), F.col("n").alias("up"), F.col("p").alias("next"), "x")
-    for _ in range(depth - 1):
-        both = rows.join(above, (rows[key] == above["k2"]) & (rows["up"] == above["up"]), "left")
-        rows = both.select(rows[key], rows["n"], F.col("next").alias("up"), F.when(F.col("x").isNull(), F.col("path")).otherwise(F.concat(F.array("x"), F.col("path"))).alias("path"), F.when(F.col("x").isNull(), F.col("ancestors")).otherwise(F.concat(F.array(rows["up"]), F.col("ancestors"))).alias("ancestors"))
-    return rows.select(key, F.col("n").alias(order), "path", "ancestors")
+def section_paths(df: DataFrame, key: str = "doc_id", order: str = "ord", level: str = "level", title: str = "title") -> DataFrame:
+    """(key, ord, path, ancestors): titles and ords from the root down to the node.
+
+    Of each smaller level, the last heading before is an ancestor if no heading of a level smaller still came later: one window.
+    """
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.when(F.col(level) > k, F.last(F.when(F.col(level) == k, F.struct(F.col(order).alias("o"), F.col(title).alias("x"))), ignorenulls=True).over(before)).alias(f"_{k}") for k in LEVELS]
+    rows = df.select(key, F.col(order).alias("n"), F.col(title).alias("x"), *last)
+    later = lambda k: F.greatest(*[F.col(f"_{j}.o") for j in range(1, k)], F.lit(-1), F.lit(-1))
+    holds = [F.when(F.col(f"_{k}.o") > later(k), F.col(f"_{k}")) for k in LEVELS]
+    chain = F.concat(F.array_compact(F.array(*holds)), F.array(F.struct(F.col("n").alias("o"), "x")))
+    return rows.select(key, F.col("n").alias(order), chain.alias("c")).select(key, order, F.col("c.x").alias("path"), F.col("c.o").alias("ancestors"))
 
 
 def paths_by_title(df: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFrame:

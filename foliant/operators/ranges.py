@@ -69,8 +69,12 @@ def excerpt_range(content, excerpt):
     exact = F.instr(content, excerpt)
     n = F.length(own)
     least = F.greatest(F.lit(8), F.floor(n / 3).cast("int"))
-    sizes = F.when(n > least, F.sequence(n, least + 1, F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    size = F.try_element_at(F.filter(sizes, lambda k: F.instr(content, F.left(own, k)) > 0), F.lit(1))
+    # if a beginning occurs, so do shorter ones: halve what is between the longest known to occur and the longest that may
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) + 1)).cast("int"))
+    middle = lambda acc: F.floor((acc["low"] + acc["high"] + 1) / 2).cast("int")
+    halved = lambda acc, _: F.when(acc["low"] >= acc["high"], acc).when(F.instr(content, F.left(own, middle(acc))) > 0, F.struct(middle(acc).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), (middle(acc) - 1).alias("high")))
+    longest = F.aggregate(steps, F.struct(least.alias("low"), F.greatest(n, least).alias("high")), halved, lambda acc: acc["low"])
+    size = F.when(longest > least, longest)
     made = lambda at, k: F.struct(at.cast("long").alias("char_start"), (at + k).cast("long").alias("char_end"))
     return F.when(own == "", F.lit(None)).when(exact > 0, made(exact - 1, F.length(excerpt))).when(size.isNotNull(), made(F.instr(content, F.left(own, size)) - 1, size))
 

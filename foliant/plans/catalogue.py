@@ -131,7 +131,13 @@ def shards_char_windows(spark, sf_dir):
     return chunking.windows(documents(spark, sf_dir), 600, 50).select("doc_id", F.col("shard").cast("int").alias("shard"), "char_start", "char_end", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(f"""WITH {BOOK}, n AS MATERIALIZED (SELECT *, coalesce(lead(char_start) OVER (PARTITION BY ws ORDER BY ord), size) AS own_end, subtree_end - char_start <= 6000 AS fits FROM nodes),
+r AS (SELECT n.*, coalesce(p.fits, false) AS parent_fits FROM n LEFT JOIN n p ON p.ws = n.ws AND p.ord = n.parent_ord),
+parts AS (SELECT ws, 'section' AS kind, ord, char_start, subtree_end AS stop FROM r WHERE size > 6000 AND fits AND NOT parent_fits
+  UNION ALL SELECT ws, 'heading', ord, char_start, own_end FROM r WHERE size > 6000 AND NOT fits
+  UNION ALL SELECT ws, 'document', -1, 0, any_value(size) FROM r WHERE size <= 6000 GROUP BY ws),
+cut AS (SELECT ws, CASE WHEN stop - char_start > 6000 THEN 'window' ELSE kind END AS kind, ord, stop, unnest(CASE WHEN stop - char_start <= 6000 THEN [char_start] ELSE generate_series(char_start, greatest(stop - 501, char_start), 5500) END) AS char_start FROM parts)
+SELECT ws, kind, CAST(ord AS INTEGER) AS ord, CAST(char_start AS BIGINT) AS char_start, CAST(least(char_start + 6000, stop) AS BIGINT) AS char_end FROM cut""")
 def shards_by_section(spark, sf_dir):
     rows = book(spark, sf_dir)
     body = rows.groupBy("ws").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "md"))), lambda x: x["md"]), "").alias("content_md"))
@@ -139,7 +145,12 @@ def shards_by_section(spark, sf_dir):
     return chunking.shards(body, own, 6000, 500, "ws")
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s FROM documents),
+w AS (SELECT doc_id, s, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS beg, CAST(0 AS BIGINT) AS stop FROM d
+  UNION ALL SELECT doc_id, s, k + 1, stop, CASE WHEN stop + 2000 >= length(s) THEN length(s) WHEN blank > 0 AND 1999 - blank > 1000 THEN stop + 1999 - blank WHEN line > 0 AND 2000 - line > 1000 THEN stop + 2000 - line ELSE stop + 2000 END
+  FROM (SELECT *, instr(reverse(substring(s, stop + 1, 2000)), chr(10) || chr(10)) AS blank, instr(reverse(substring(s, stop + 1, 2000)), chr(10)) AS line FROM w WHERE stop < length(s))),
+p AS (SELECT doc_id, k, regexp_replace(substring(s, beg + 1, stop - beg), '^\s+|\s+$', '', 'g') AS x FROM w WHERE k > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk, CAST(length(x) AS INTEGER) AS size, md5(x) AS text_md5 FROM p WHERE x <> ''""")
 def brief_windows(spark, sf_dir):
     return chunking.break_windows(documents(spark, sf_dir), 2000).select("doc_id", "chunk", F.length("text").alias("size"), F.md5("text").alias("text_md5"))
 
@@ -166,10 +177,10 @@ def outline_section_path(spark, sf_dir):
     return outline.section_paths(nodes(spark, sf_dir), "ws").select("ws", "ord", joined("path", " / ").alias("path"))
 
 
-@query(f"""WITH {BOOK} SELECT ws, title, ord FROM nodes""")
+@query(f"""WITH {BOOK} SELECT ws, 'Part ' || CAST(ord % 7 AS VARCHAR) AS title, min(ord) AS ord FROM book GROUP BY ws, ord % 7""")
 def path_by_title(spark, sf_dir):
-    found = outline.paths_by_title(nodes(spark, sf_dir).select("ws", "title", "ord", F.col("ord").alias("path")), "ws")
-    return found.select("ws", "title", F.col("path").alias("ord"))
+    rows = book(spark, sf_dir).select("ws", F.concat(F.lit("Part "), (F.col("ord") % 7).cast("string")).alias("title"), "ord", F.col("ord").alias("path"))
+    return outline.paths_by_title(rows, "ws").select("ws", "title", F.col("path").alias("ord"))
 
 
 NUMBERED = """
@@ -557,10 +568,14 @@ def workspace_merge(spark, sf_dir):
     return workspaces(spark, sf_dir)[1].select("doc_id", "node_id", F.col("ord").cast("int").alias("ord"), "char_start", "char_end")
 
 
-@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
-SELECT doc_id, 'n1' AS node_id, 'range' AS problem FROM d WHERE x = '' UNION ALL SELECT doc_id - 1, 'm2:n1', 'range' FROM d WHERE x = '' AND doc_id >= 1""")
+@query("""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT doc_id, 'n1' AS node_id, CASE WHEN doc_id % 5 = 0 THEN 'gone' END AS parent_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE 0 END AS s, n + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS e, n FROM d)
+SELECT doc_id, node_id, 'parent' AS problem FROM o WHERE parent_id IS NOT NULL UNION ALL SELECT doc_id, node_id, 'range' FROM o WHERE NOT (0 <= s AND s < e AND e <= n)""")
 def workspace_validate(spark, sf_dir):
-    return workspace.invalid_nodes(*workspaces(spark, sf_dir))
+    docs, n = documents(spark, sf_dir), F.length("text").cast("long")
+    wrong = lambda k, yes, no: F.when(F.col("doc_id") % k == 0, yes).otherwise(no)
+    faulty = docs.select("doc_id", F.lit("n1").alias("node_id"), wrong(5, F.lit("gone"), F.lit(None)).alias("parent_id"), F.lit(0).alias("ord"), wrong(7, F.lit(-1), F.lit(0)).cast("long").alias("char_start"), (n + wrong(11, F.lit(1), F.lit(0))).alias("char_end"))
+    return workspace.invalid_nodes(docs.select("doc_id", F.col("text").alias("content_md")), faulty)
 
 
 @query("""WITH b AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), r AS (SELECT doc_id, unnest(['a.png', 'b.png', 'none.png']) AS ref FROM b)

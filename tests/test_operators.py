@@ -1,6 +1,7 @@
 """Operators on hand-written cases, where the tables of the catalogue don't reach."""
 
 import json
+import random
 
 import pytest
 from foliant.operators import chunking, classify, merge, model_calls, outline, ranges, render, tables, tree, workspace
@@ -12,8 +13,6 @@ def rows(df, *names):
 
 
 def test_parent_is_the_nearest_smaller_level(spark):
-    import random
-
     rng = random.Random(3)
     levels = [rng.randint(1, 8) for _ in range(200)]
     stack, want = [], []
@@ -47,6 +46,58 @@ def test_break_windows(spark):
     assert got == [(1, 0, "a" * 30), (1, 1, "b" * 30), (1, 2, "c" * 49), (1, 3, "c" * 11), (3, 0, "x")]
 
 
+def some_texts(n):
+    rng = random.Random(n)
+    signs = ["\n", "\n\n", "a", "bb", "ccc" * 7, " ", "\n \n", "\n\n\n"]
+    return ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(n)]
+
+
+def test_break_windows_on_any_text(spark):
+    """Each piece, set in the text behind the one before, ends where the rule says."""
+    texts = some_texts(300)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for most in (7, 20, 50):
+        got = {}
+        for r in sorted(chunking.break_windows(df, most).collect()):
+            got.setdefault(r["doc_id"], []).append(r["text"])
+        for k, text in enumerate(texts):
+            text, rest = text.strip(), list(got.get(k, []))
+            while text:
+                head = text[:most]
+                if len(text) > most:
+                    ends = [x for x in (head.rfind("\n\n"), head.rfind("\n")) if x > most // 2]
+                    head = head[: ends[0]] if ends else head
+                if head.strip():
+                    assert rest.pop(0) == head.strip()
+                text = text[len(head) :]
+            assert not rest
+
+
+def test_merge_small_like_joining_texts(spark):
+    texts = some_texts(400)
+    df = spark.createDataFrame([(k // 8, k, x) for k, x in enumerate(texts)], "doc_id int, ord int, text string")
+    got = rows(chunking.merge_small(df, 6), "doc_id", "first", "last", "text")
+    want = []
+    for k, x in enumerate(texts):
+        if want and want[-1][0] == k // 8 and len(want[-1][3]) // 4 < 6:
+            d, first, _, before = want.pop()
+            want.append((d, first, k, before.rstrip() + "\n\n" + x.lstrip()))
+        else:
+            want.append((k // 8, k, k, x))
+    assert sorted(got) == sorted(want)
+
+
+def test_section_paths_of_any_levels(spark):
+    rng = random.Random(2)
+    heads = [(k, o, rng.randint(1, 6), f"t{o}") for k in range(40) for o in range(rng.randint(1, 30))]
+    df = spark.createDataFrame(heads, "doc_id int, ord int, level int, title string")
+    got = {(r["doc_id"], r["ord"]): (r["path"], r["ancestors"]) for r in outline.section_paths(df).collect()}
+    above = []
+    for k, o, level, title in heads:
+        above = [x for x in above if x[0] == k and x[2] < level] + [(k, o, level, title)]
+        assert got[k, o] == ([x[3] for x in above], [x[1] for x in above])
+
+
 def test_shards_cover_everything(spark):
     parts = [("# A\n" + "a" * 100, 1, 0), ("## B\n" + "b" * 300, 2, 1), ("## C\n" + "c" * 50, 2, 2), ("# D\n" + "d" * 900, 1, 3)]
     md, nodes = "preface ", []
