@@ -4,13 +4,15 @@ Fingerprints are 64-bit majorities over XXH64 hashes of word shingles. All disti
 compared exactly, tile against tile, by exclusive-or and bit counts. A tile holds fingerprints whose
 64/parts-bit parts have the same population counts, so a pair of tiles whose counts differ by more than
 the radius in sum can hold no link and is skipped. The more fingerprints, the finer the parts; tiles
-that are still large are split, so that no task holds more than two of bounded size. A tile pair
+that are still large are split, so that no task holds more than two of bounded size. A tile is packed into one row, once; rows
+of tiles, not of fingerprints, are dealt to the pairs that they take part in, and there are as many tasks as there is to compare. A tile pair
 yields a spanning forest of its links, never all pairs; copies of a text share a fingerprint and meet
 no comparison at all. Components come from connected_components().
 
 Null texts count as empty; a text without words has fingerprint zero and links like any other. Null
 ids keep their rows; a component's id is its smallest non-null id (null if it has none). Repeated rows
-and ties share a fingerprint and so a component. Only the id and text columns are read.
+and ties share a fingerprint and so a component. Only the id and text columns are read. An empty table gives an
+empty one; a text of any length is taken whole, its hashes counted in runs.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 from foliant.llm.common import checkpoint, connected_components, free_name, map_arrow, table
 
 SEED = 42
-#: Fingerprints in a tile at most.
-TILE = 8192
-#: Rows of a tile compared at a time with the other tile's.
-BLOCK = 128
+#: Fingerprints in a tile, about, at most.
+TILE = 1 << 16
+#: Pairs of fingerprints compared at a time, and by a task, about.
+BLOCK = 1 << 21
+TASK = 1 << 32
 
 
 def fingerprint_of(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
@@ -74,8 +77,9 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
     first = 0 if b is None else len(a)
     other = nodes[first:]
     labels = np.arange(len(nodes))
-    for at in range(0, len(a), BLOCK):
-        near = np.bitwise_count(a[at : at + BLOCK, None] ^ other[None, :]) <= radius
+    step = max(1, BLOCK // max(1, len(other)))
+    for at in range(0, len(a), step):
+        near = np.bitwise_count(a[at : at + step, None] ^ other[None, :]) <= radius
         if b is None:
             near[:, : at + 1] &= False
         for r in np.nonzero(near.any(1))[0].tolist():
@@ -113,22 +117,25 @@ def links(fps: DataFrame, radius: int = 3, parts: int | None = None, tile: int =
     """(u, v): a forest for each pair of tiles that together connect all fingerprints (column fp, distinct) within the radius."""
     parts = parts or parts_for(fps.count())
     size = fps.withColumn("cell", _cell(F.col("fp"), parts))
-    cells = checkpoint(size.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("split")))
-    near = cells.select(F.col("cell").alias("ca"), F.col("split").alias("na"), F.explode(F.array(*[F.col("cell") + d for d in _offsets(parts, radius)])).alias("cb"))
-    near = near.join(cells.select(F.col("cell").alias("cb"), F.col("split").alias("nb")), "cb")
+    cells = checkpoint(size.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("split", F.ceil(F.col("n") / tile).cast("int")))
+    near = cells.select(F.col("cell").alias("ca"), F.col("split").alias("na"), F.col("n").alias("a"), F.explode(F.array(*[F.col("cell") + d for d in _offsets(parts, radius)])).alias("cb"))
+    near = near.join(cells.select(F.col("cell").alias("cb"), F.col("split").alias("nb"), F.col("n").alias("b")), "cb")
+    work = near.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0.0
     pairs = near.select("ca", "cb", "na", "nb", F.explode(F.expr("sequence(0, na - 1)")).alias("ta")).select("*", F.explode(F.expr("sequence(0, nb - 1)")).alias("tb"))
     pairs = pairs.where("ca < cb or ta <= tb").select(F.struct("ca", "ta", "cb", "tb").alias("pair"), "ca", "ta", "cb", "tb")
     members = size.join(cells, "cell").select("fp", "cell", F.pmod(F.xxhash64("fp"), "split").cast("int").alias("t"))
+    tiles = checkpoint(members.groupBy("cell", "t").agg(F.collect_list("fp").alias("fps")))
     sides = pairs.select(F.col("ca").alias("cell"), F.col("ta").alias("t"), "pair", F.lit(0).alias("side"))
     sides = sides.unionByName(pairs.where("ca <> cb or ta <> tb").select(F.col("cb").alias("cell"), F.col("tb").alias("t"), "pair", F.lit(1).alias("side")))
-    dealt = members.join(sides, ["cell", "t"]).select("pair", "side", "fp")
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, min(100_000, int(work / TASK)))
+    dealt = tiles.join(sides, ["cell", "t"]).select("pair", "side", "fps").repartition(tasks, "pair")
 
     def compare(rows: pa.Table) -> pa.Table:
-        fp, side = rows.column("fp").to_numpy().view(np.uint64), rows.column("side").to_numpy()
+        tile_of = dict(zip(rows.column("side").to_pylist(), rows.column("fps"), strict=True))
+        own = {side: x.values.to_numpy().view(np.uint64) for side, x in tile_of.items()}
         pair = rows.column("pair")[0].as_py()
         alone = pair["ca"] == pair["cb"] and pair["ta"] == pair["tb"]
-        a, b = fp[side == 0], None if alone else fp[side == 1]
-        found = linked(a, b, radius) if alone or len(b) else []
+        found = linked(own[0], None, radius) if alone else linked(own[0], own[1], radius) if len(own) == 2 else []
         pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
