@@ -41,9 +41,9 @@ TOP = 10
 SHARD_DOCS = 8192
 SHARD_POSTINGS = 3_000_000
 #: Documents in a block.
-BLOCK = 16
+BLOCK = 4
 #: Blocks of a query that are scored first, to raise its threshold.
-FIRST = 4
+FIRST = 16
 #: Shards that a task goes through at least, where there are enough for all cores.
 TOGETHER = 8
 #: Terms by which a shard's documents are ordered.
@@ -54,7 +54,7 @@ COMMON = 150
 COUNTED = 500_000
 #: Queries that are scored together, and pairs of them and documents.
 QUERIES = 128
-SCORED = 1 << 16
+SCORED = 1 << 13
 #: (query, term) pairs that are broadcast at once.
 PAIRS = 600_000
 
@@ -211,7 +211,8 @@ class Scorer:
         self.cut_block = block[self.cut]
         self.cut_most = np.maximum.reduceat(self.weight, self.cut) if len(self.cut) else np.zeros(0)
         self.term_cuts = np.searchsorted(self.cut, self.starts)
-        self.met = self.passed = 0
+        #: Pairs of a query and a document whose postings were looked at, and those scored in full.
+        self.tested = self.met = 0
 
     def best(self, starts: np.ndarray, term_of: np.ndarray, weights: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, document, score) of all documents that may be among the best of some queries.
@@ -258,7 +259,7 @@ class Scorer:
             scores = np.concatenate([np.zeros(0), *(sums[q[at : at + SCORED], d[at : at + SCORED]] + np.einsum("pc,pc->p", asked[q[at : at + SCORED]], has[d[at : at + SCORED]]) for at in range(0, len(q), SCORED))])
             scores = np.round(scores, 9)
             self.met += len(q)
-            self.passed += int(todo.size - todo.sum()) if turn is not first else -int(first.sum())
+            self.tested += int(todo.sum()) * BLOCK
             order = np.lexsort((-scores, q))
             place_in = np.arange(len(q)) - np.searchsorted(q, q)  # q is sorted
             new = np.zeros_like(best)
