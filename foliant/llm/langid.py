@@ -38,6 +38,8 @@ NUMBERS = 4_000_000
 LONG = 40
 #: Each letter's share of a piece's probability is raised by this, so that sums stay near one; it cancels out.
 LIFT = 10.0
+#: Taken off a text's distance from its language, over the root of its letters; and the least spread of a language.
+SHORT, LEAST_SPREAD = 5.0, 0.02
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -212,23 +214,31 @@ class Model:
         self.logs = np.concatenate([self.logs, self.old_logs[np.array([self.old_at[w] for w in again], np.int64)], logs])
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        langs, scores, _, _ = self.judged(texts)
+        return langs, scores
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
+        """Of each text: its best language, that language's posterior, its log likelihood per letter, and the letters (word starts count)."""
         if len(self.at) > CACHE_WORDS:
             self.old_at, self.old_logs, self.at, self.logs = self.at, self.logs, {}, np.empty((0, len(self.langs)))
         split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         missing = set().union(*split).difference(self.at)
         if missing:
             self.learn(list(missing))
-        langs, scores, get = [], [], self.at.__getitem__
+        langs, scores, rates, sizes, get = [], [], [], [], self.at.__getitem__
         for words in split:
             if not words or not self.langs:
-                langs.append("und")
-                scores.append(0.0)
+                for column, x in ((langs, "und"), (scores, 0.0), (rates, 0.0), (sizes, 0)):
+                    column.append(x)
                 continue
             total = self.logs[np.fromiter(map(get, words), np.int64, len(words))].sum(0)
             best = int(total.argmax())
+            letters = len(words) + sum(map(len, words))
             langs.append(self.langs[best])
             scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-        return langs, scores
+            rates.append(float(total[best] / letters))
+            sizes.append(letters)
+        return langs, scores, rates, sizes
 
 
 def held_out(id_col: str = "doc_id"):
@@ -236,17 +246,24 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocab_path: str | None = None, train_docs: int = TRAIN_DOCS) -> Model:
-    """The model learned from ``docs``. What reaches the driver is the counts of the words of about ``train_docs`` documents per language."""
-    vocab = vocabulary(vocab_path)
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int) -> tuple[DataFrame, list[str]]:
+    """(lang, text) of about ``train_docs`` labelled rows of each language, chosen by a hash, and the languages."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("lang is not null and text is not null and id is not null").where(~held_out("id"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    langs = sorted(sizes)
-    if not langs:
-        return Model([], vocab, np.zeros((len(vocab) + 2, 0)))
+    if not sizes:
+        return rows.select("lang", "text").limit(0), []
     share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, train_docs / n))) for k, n in sizes.items()))
     chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    return chosen.select("lang", "text"), sorted(sizes)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocab_path: str | None = None, train_docs: int = TRAIN_DOCS) -> Model:
+    """The model learned from ``docs``. What reaches the driver is the counts of the words of about ``train_docs`` documents per language."""
+    vocab = vocabulary(vocab_path)
+    chosen, langs = _sample(docs, id_col, text_col, lang_col, train_docs)
+    if not langs:
+        return Model([], vocab, np.zeros((len(vocab) + 2, 0)))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         split = [words_of(t) for t in batch.column("text").to_pylist()]
@@ -254,7 +271,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         of = np.repeat(np.arange(len(split)), list(map(len, split)))
         return pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(of)), pa.array(words, pa.string())], ["lang", "word"])
 
-    words = map_arrow(chosen.select("lang", "text"), each, "lang string, word string").groupBy("word").agg(*[F.count_if(F.col("lang") == x).alias(f"c{k}") for k, x in enumerate(langs)])
+    words = map_arrow(chosen, each, "lang string, word string").groupBy("word").agg(*[F.count_if(F.col("lang") == x).alias(f"c{k}") for k, x in enumerate(langs)])
     top = words.orderBy("word").toArrow()
     counts = np.stack([top.column(f"c{k}").to_numpy() for k in range(len(langs))], 1).astype(float)
     return Model.fit(top.column("word").to_pylist(), counts, langs, vocab)
@@ -279,6 +296,38 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str =
     return map_arrow(rest, each, schema, 512)
 
 
+def usual_rates(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> dict[str, tuple[float, float]]:
+    """Of each language, the mean and standard deviation of the log likelihood per letter over its sampled documents."""
+    chosen, _ = _sample(docs, id_col, text_col, lang_col, train_docs)
+    sent = Sent(docs.sparkSession, (model.langs, model.vocab, model.p))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, _, rates, sizes = _received(sent).judged(batch.column(1).to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rates, pa.float64()), pa.array(sizes, pa.int64())], ["lang", "rate", "letters"])
+
+    rows = map_arrow(chosen, each, "lang string, rate double, letters long").where("letters > 0").groupBy("lang").agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("sd"))
+    return {r["lang"]: (r["mean"], r["sd"]) for r in rows.collect()}
+
+
+def with_oddness(df: DataFrame, model: Model, usual: dict[str, tuple[float, float]], text_col: str = "text", lang_out: str = "lang_pred", odd_out: str = "oddness") -> DataFrame:
+    """``df`` with the predicted language, and how many standard deviations its log likelihood per letter lies below the language's usual.
+
+    A posterior tells one learned language from another, but goes to one for any text; this tells a text of none of them. Few letters
+    prove little: SHORT over their root is taken off first. Null and letterless texts are und, with oddness 0.
+    """
+    sent = Sent(df.sparkSession, (model.langs, model.vocab, model.p))
+    rest = df.drop(lang_out, odd_out)
+    at = rest.columns.index(text_col)
+    schema = rest.select("*", F.lit(None).cast("string").alias(lang_out), F.lit(None).cast("double").alias(odd_out)).schema
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, _, rates, sizes = _received(sent).judged(batch.column(at).to_pylist())
+        odd = [(usual[x][0] - r - SHORT / n**0.5) / max(usual[x][1], LEAST_SPREAD) if n and x in usual else 0.0 for x, r, n in zip(langs, rates, sizes, strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(odd, pa.float64())], [*batch.schema.names, lang_out, odd_out])
+
+    return map_arrow(rest, each, schema, 512)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs)
