@@ -12,12 +12,15 @@ and tables directly in the elements around it are text as well, as a short lead
 
 Character references are decoded; white space inside a block becomes one space, and line breaks
 inside a block are white space. Null or empty html gives an empty text. Rows are independent; repeated
-rows and other columns of any name need nothing; null ids and urls stay null.
+rows and other columns of any name need nothing; null ids and urls stay null. An empty table gives an empty one. Elements
+are numbered as they open, so a page of any length and depth, closed or not, takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -59,10 +62,12 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Block:
-    __slots__ = ("apart", "chars", "linked", "path", "tags", "text")
+    """A block of text: the number of the element that it stands in, and what the elements say of it."""
 
-    def __init__(self, path: tuple[int, ...], apart: bool):
-        self.path, self.apart, self.text, self.linked, self.tags, self.chars = path, apart, [], 0, 1, 0
+    __slots__ = ("apart", "chars", "holder", "linked", "tags", "text")
+
+    def __init__(self, holder: int, apart: bool):
+        self.holder, self.apart, self.text, self.linked, self.tags, self.chars = holder, apart, [], 0, 1, 0
 
 
 def set_apart(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
@@ -85,14 +90,19 @@ def set_apart(tag: str, attrs: list[tuple[str, str | None]], inside_article: boo
 
 
 class Reader(HTMLParser):
-    """Blocks of text in page order, with the open elements they stand in."""
+    """Blocks of text in page order, and the elements, numbered as they open: 0 is the page.
+
+    Of each element: its tag, the block element it stands in, the last number within it, the innermost article it is in (0 for none),
+    and the innermost element, itself or around it, that is no piece of a text. An element holds what has its number to its last one.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.open: list[tuple[str, int, bool, Block | None]] = []
-        self.tag_of: dict[int, str] = {0: ""}
-        self.count = 0
+        self.opened: Counter = Counter()
+        self.holders = [0]
+        self.tag_of, self.parent, self.last, self.article, self.frame = [""], [0], [0], [0], [0]
         self.block: Block | None = None
         self.links = 0
         self.articles = 0
@@ -112,11 +122,18 @@ class Reader(HTMLParser):
                 self.block = None
             return
         away = set_apart(tag, attrs, self.articles > 0)
-        self.count += 1
-        self.tag_of[self.count] = tag
-        self.open.append((tag, self.count, away, self.block if tag in WITHIN else None))
+        number, up = len(self.tag_of), self.holders[-1]
+        self.tag_of.append(tag)
+        self.parent.append(up)
+        self.last.append(number)
+        self.article.append(number if tag in ARTICLES else self.article[up])
+        self.frame.append(self.frame[up] if tag in PIECES or tag in HEADINGS else number)
+        if tag not in INLINE:
+            self.holders.append(number)
+        self.open.append((tag, number, away, self.block if tag in WITHIN else None))
+        self.opened[tag] += 1
         self.links += tag == "a"
-        self.articles += tag in ("article", "main")
+        self.articles += tag in ARTICLES
         self.apart += away
         if tag not in INLINE or away:
             self.block = None
@@ -129,8 +146,9 @@ class Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in ("br", "p") and not any(x[0] == tag for x in self.open):
-            self.handle_starttag(tag, [])
+        if not self.opened[tag]:
+            if tag in ("br", "p"):
+                self.handle_starttag(tag, [])
             return
         bound = () if tag in WHOLE or tag not in INLINE else ("p", "div", "li", "td", "th", "article", "section")
         for k in range(len(self.open) - 1, -1, -1):
@@ -141,6 +159,8 @@ class Reader(HTMLParser):
                 return
 
     def _close(self, tags: set[str], until: set[str]) -> None:
+        if not any(self.opened[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in tags:
                 self._cut(k)
@@ -150,9 +170,13 @@ class Reader(HTMLParser):
 
     def _cut(self, k: int) -> None:
         """Closes the k-th open element and what is open in it."""
-        for tag, _, away, outer in reversed(self.open[k:]):
+        for tag, number, away, outer in reversed(self.open[k:]):
+            self.last[number] = len(self.tag_of) - 1
+            self.opened[tag] -= 1
             self.links -= tag == "a"
-            self.articles -= tag in ("article", "main")
+            self.articles -= tag in ARTICLES
+            if tag not in INLINE:
+                self.holders.pop()
             self.apart -= away
             if tag not in INLINE or away:
                 self.block = outer
@@ -162,7 +186,7 @@ class Reader(HTMLParser):
         if self.block is None:
             if not data.strip():
                 return
-            self.block = Block((0, *(i for t, i, _, _ in self.open if t not in INLINE)), self.apart > 0)
+            self.block = Block(self.holders[-1], self.apart > 0)
             self.blocks.append(self.block)
         self.block.text.append(data)
         n = len(data.strip())
@@ -173,6 +197,22 @@ class Reader(HTMLParser):
     def handle_data(self, data):
         self._add(data)
 
+    def done(self) -> None:
+        """Closes the page."""
+        self.close()
+        self._cut(0)
+        self.last[0] = len(self.tag_of) - 1
+
+    def holds(self, element: int, block: Block) -> bool:
+        return element <= block.holder <= self.last[element]
+
+    def shared(self, blocks: list[Block]) -> int:
+        """The innermost element that holds every one of the blocks."""
+        low, high = min(b.holder for b in blocks), max(b.holder for b in blocks)
+        while self.last[low] < high:
+            low = self.parent[low]
+        return low
+
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.5) -> np.ndarray:
     reach = int(3 * sigma) + 1
@@ -180,12 +220,7 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.5) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def shared(blocks: list[Block]) -> set[int]:
-    """The elements that hold every one of the blocks."""
-    return set(blocks[0].path).intersection(*(b.path for b in blocks[1:])) if blocks else set()
-
-
-def region(blocks: list[Block], tag_of: dict[int, str]) -> tuple[int, int, int]:
+def region(page: Reader, blocks: list[Block]) -> tuple[int, int, int]:
     """The number of the element that holds the page's content (0 is the page), and the first and last block above the threshold."""
     ratios = np.array([0.0 if b.apart else max(0, b.chars - 2 * b.linked) / b.tags for b in blocks])
     smooth = smoothed(ratios)
@@ -193,54 +228,73 @@ def region(blocks: list[Block], tag_of: dict[int, str]) -> tuple[int, int, int]:
     above_at = np.nonzero(dense)[0].tolist() or [0]
     ends = above_at[0], above_at[-1]
     clusters = [b for b, above in zip(blocks, dense.tolist(), strict=True) if above]
-    articles = {i for b in clusters for i in b.path if tag_of[i] in ARTICLES}
-    weight = dict.fromkeys(articles, 0)
-    for b in clusters:
-        for i in articles.intersection(b.path):
-            weight[i] += b.chars
-    if articles and max(weight.values()) >= 0.3 * sum(b.chars for b in clusters):
+    if not clusters:
+        return (0, *ends)
+    within = [b for b in clusters if page.article[b.holder]]
+    # the letters of each article, those of articles in it, too: inner ones have higher numbers
+    weight: Counter = Counter()
+    for b in within:
+        weight[page.article[b.holder]] += b.chars
+    inner = sorted(weight)
+    while inner:
+        around = page.article[page.parent[inner[-1]]]
+        own = weight[inner.pop()]
+        if around:
+            if around not in weight:
+                bisect.insort(inner, around)
+            weight[around] += own
+    if within and max(weight.values()) >= 0.3 * sum(b.chars for b in clusters):
         # articles beside each other are one region: the innermost element that holds all of their clusters; of articles in each other, the outermost
-        holding = shared([b for b in clusters if not articles.isdisjoint(b.path)])
-        one = articles & holding
-        return (min(one) if one else max(holding), *ends)
+        inside = page.shared(within)
+        while around := page.article[inside]:
+            inside, at = around, page.parent[around]
+            if not page.article[at]:
+                break
+            inside = at
+        return (inside, *ends)
     # the innermost element with all the clusters: beyond it, only the page's frame, but for a title that stands before
-    inside = max((i for i in shared(clusters) if tag_of[i] not in HEADINGS and tag_of[i] not in PIECES), default=0)
-    own = [k for k, b in enumerate(blocks) if inside in b.path]
-    for k, b in enumerate(blocks):
-        if tag_of[b.path[-1]] == "h1" and not b.apart and own and k < own[0] and k < ends[1]:
-            inside = max(set(b.path) & set(blocks[own[0]].path))
+    inside = page.frame[page.shared(clusters)]
+    own = next((k for k, b in enumerate(blocks) if page.holds(inside, b)), 0)
+    for b in blocks[: min(own, ends[1])]:
+        if page.tag_of[b.holder] == "h1" and not b.apart:
+            inside = page.shared([b, blocks[own]])
             break
     return (inside, *ends)
 
 
-def is_menu(b: Block, tag_of: dict[int, str]) -> bool:
+def is_menu(b: Block, page: Reader) -> bool:
     """Before the first or behind the last cluster, a block outside articles that is nothing but links, and no heading."""
-    return b.linked >= 0.9 * b.chars and tag_of[b.path[-1]] not in HEADINGS and not any(tag_of[i] in ARTICLES for i in b.path)
+    return b.linked >= 0.9 * b.chars and page.tag_of[b.holder] not in HEADINGS and not page.article[b.holder]
 
 
-def above(blocks: list[Block], inside: int) -> set[int]:
+def above(page: Reader, inside: int) -> set[int]:
     """The elements that the content region stands in."""
-    return next(({i for i in b.path if i < inside} for b in blocks if inside in b.path), set())
-
-
-def is_beside(b: Block, holders: set[int], tag_of: dict[int, str]) -> bool:
-    """Whether a block stands as a paragraph, heading, list, table or bare text directly in an element that the content region stands in."""
-    return bool(holders) and all(i in holders or tag_of[i] in PIECES or tag_of[i] in HEADINGS for i in b.path)
+    found = set()
+    while inside:
+        inside = page.parent[inside]
+        found.add(inside)
+    return found
 
 
 def main_text(html: str | None) -> str:
     """The blocks of the content region, in page order, one line each."""
     if not html:
         return ""
-    reader = Reader()
-    reader.feed(html)
-    reader.close()
-    blocks = [b for b in reader.blocks if not all(not t.strip() for t in b.text)]
-    if not any(not b.apart for b in blocks):
+    page = Reader()
+    page.feed(html)
+    page.done()
+    blocks = [b for b in page.blocks if any(t.strip() for t in b.text)]
+    if all(b.apart for b in blocks):
         return ""
-    inside, first, last = region(blocks, reader.tag_of)
-    holders = set() if reader.tag_of[inside] in ARTICLES else above(blocks, inside)
-    kept = [b for k, b in enumerate(blocks) if not b.apart and (inside in b.path and first <= k <= last or (inside in b.path or is_beside(b, holders, reader.tag_of)) and not is_menu(b, reader.tag_of))]
+    inside, first, last = region(page, blocks)
+    holders = set() if page.tag_of[inside] in ARTICLES else above(page, inside)
+
+    def stays(k: int, b: Block) -> bool:
+        # beside the region: a paragraph, heading, list, table or bare text directly in an element that the region stands in
+        own = page.holds(inside, b)
+        return not b.apart and (own and first <= k <= last or (own or page.frame[b.holder] in holders) and not is_menu(b, page))
+
+    kept = [b for k, b in enumerate(blocks) if stays(k, b)]
     lines = (SPACE.sub(" ", "".join(b.text)).strip() for b in kept)
     return "\n".join(x for x in lines if x)
 
