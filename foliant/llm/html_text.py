@@ -3,7 +3,7 @@
 The standard library's parser streams a page's events. Each block of text is a line with its text,
 the letters of it that stand in links, the tags met in it, and the elements that hold it. Blocks in menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are set apart by their elements' names,
-roles and class or id words. The ratio of a line's letters outside links to its tags, smoothed over the
+roles and class or id words, and outside articles copyright notices by how they begin. The ratio of a line's letters outside links to its tags, smoothed over the
 lines by a Gaussian, is held against a threshold (the mean of the smoothed ratios less half a
 standard deviation); runs of lines above it are clusters. The innermost element that holds all
 clusters (article and main elements first, lists and tables never) is the content region, and every block in it that isn't
@@ -58,6 +58,8 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 #: What an opening tag closes, and which elements it doesn't look beyond.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SPACE = re.compile(r"\s+")
+#: How a block outside articles begins that is a page's copyright notice, whatever its element is called.
+NOTICE = re.compile(r"\s*(?:©|\([cC]\)\s*[0-9]{4}|[Cc]opyright\s+(?:©|\([cC]\)|[0-9]{4}))")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -284,6 +286,8 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.done()
     blocks = [b for b in page.blocks if any(t.strip() for t in b.text)]
+    for b in blocks:
+        b.apart = b.apart or not page.article[b.holder] and NOTICE.match("".join(b.text)) is not None
     if all(b.apart for b in blocks):
         return ""
     inside, first, last = region(page, blocks)

@@ -110,7 +110,7 @@ def test_share_like_brute_force(spark):
 def test_one_document_proves_nothing(spark):
     rows = ["ask Zebedee now at a@b.cd first, then Zebedee again or a@b.cd please, last Zebedee called from a@b.cd there"] + ["other words"] * 60
     assert pii.disclosing_terms(spark.createDataFrame(list(enumerate(rows)), "id long, text string")) is None
-    assert sum(w == "zebedee" for _, w, _ in pii.contexts(rows[0])) == 1
+    assert sum(w == "zebedee" for e, w, _ in pii.contexts(rows[0]) if e) == 1
 
 
 def test_words_far_away_stay_whole():
