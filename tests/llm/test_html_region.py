@@ -33,17 +33,17 @@ def test_link_paragraphs_of_an_article_stay():
 def test_clusters_find_the_article_without_names_of_elements(spark):
     """The driver's pages with every structural element made a div: the ratios alone must find the text."""
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
-    same = sum(html_text.main_text(re.sub(r"<(/?)(?:nav|header|footer|aside|article|main|section)\b", r"<\1div", h)) == html_text.main_text(h) for h in pages)
+    same = sum(main_text(re.sub(r"<(/?)(?:nav|header|footer|aside|article|main|section)\b", r"<\1div", h)) == main_text(h) for h in pages)
     assert same >= 0.9 * len(pages)
 
 
 def test_notices():
     page = "<div><div><p>" + "Words of the article, quite a few. " * 9 + "</p><p>Copyright law is old.</p></div><div>© 2024 somebody else entirely</div></div>"
-    assert html_text.main_text(page).endswith("Copyright law is old.") and "©" in html_text.main_text(f"<article><p>{'Words. ' * 40}</p><p>© me</p></article>")
+    assert main_text(page).endswith("Copyright law is old.") and "©" in main_text(f"<article><p>{'Words. ' * 40}</p><p>© me</p></article>")
 
 
 def test_time_is_linear_in_unclosed_elements():
     for part in ("<div>x", "<b>x", "<span></i>y", "<ul><b>z", "<p><div>q", "<article>w"):
         at = time.process_time()
-        html_text.main_text(part * 20_000)
+        main_text(part * 20_000)
         assert time.process_time() - at < 6, part
