@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from foliant.plans import catalogue
+from foliant.plans import catalogue, catalogue_more  # noqa: F401
 
 PATH = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
