@@ -190,3 +190,28 @@ def is_scoring_text(c: Column) -> Column:
 def is_small_image(size: Column, width: Column, height: Column) -> Column:
     """Logos that no model looks at."""
     return (size <= 10_240) & ((width < 128) | (height < 128))
+
+
+def sha256_hex(c: Column) -> Column:
+    """The digest that files and images are known by."""
+    return F.sha2(c.cast("binary"), 256)
+
+
+def base64_text(c: Column) -> Column:
+    """Bytes as they are sent to a model, without line breaks."""
+    return F.regexp_replace(F.base64(c.cast("binary")), r"\s", "")
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """A duration in seconds, to two places."""
+    return F.round(F.unix_micros(end.cast("timestamp")) / 1e6 - F.unix_micros(start.cast("timestamp")) / 1e6, 2)
+
+
+def run_timestamp() -> Column:
+    """The run's time in UTC as text, one value in all rows of a query."""
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def new_id() -> Column:
+    """A random id; not for what is compared between runs."""
+    return F.expr("uuid()")

@@ -194,6 +194,21 @@ def scoring_lookahead(segments: DataFrame, tables: DataFrame, key: str = "doc_id
     return both.withColumn("text", F.when(F.col("more").isNull(), F.col("text")).otherwise(F.concat(t.rstrip(F.col("text")), F.lit("\n\n"), F.col("more")))).drop("more")
 
 
+def expand_short(segments: DataFrame, tables: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "content_md", short: int = 200, lookahead: int = 12_000) -> DataFrame:
+    """Segments (key, segment, s, e, section_path, text): a short one in a section that may hold scoring tables is sliced anew,
+    ``lookahead`` further and with its tables' text, if that is longer."""
+    from foliant.operators import classify
+    from foliant.operators.ranges import substitute_tables
+
+    few = segments.where((F.length(t.strip(F.col("text"))) < short) & classify.scoring_section(F.col("section_path"), hosts=True))
+    body = df.select(F.col(key).alias("k2"), F.col(text).alias("content"))
+    wide = few.join(body, F.col(key) == F.col("k2")).select(key, F.col("segment").alias("slice_id"), "s", F.least(F.col("e") + lookahead, F.length("content")).alias("e"), "content", F.col("e").alias("was")).where("e > was")
+    more = substitute_tables(wide.drop("was"), tables, key).select(F.col(key).alias("k2"), F.col("slice_id").alias("s2"), F.col("text").alias("longer"))
+    both = segments.join(more, (F.col(key) == F.col("k2")) & (F.col("segment") == F.col("s2")), "left")
+    longer = F.length(t.strip(F.col("longer"))) > F.length(t.strip(F.col("text")))
+    return both.withColumn("text", F.when(longer, F.col("longer")).otherwise(F.col("text"))).drop("k2", "s2", "longer")
+
+
 def scoring_segments(tables: DataFrame, segments: DataFrame, key: str = "doc_id", most: int = 5) -> DataFrame:
     """(key, table_ref, text): a document's first scoring tables as segments of their own, but those a segment already equals."""
     rows = tables.where(t.is_scoring_text(F.col("llm_text"))).groupBy(key, "table_ref").agg(F.min("char_start").alias("char_start"), F.min_by("llm_text", "char_start").alias("text"))

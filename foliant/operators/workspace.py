@@ -151,3 +151,36 @@ def with_ocr(df: DataFrame, cache: DataFrame, key: str = "doc_id", text: str = "
     line = F.when(F.col("seen").isNotNull(), F.concat("line", F.lit("\n<!-- ocr:"), "file_hash", F.lit(" -->\n"), "seen")).otherwise(F.col("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("l")))), lambda x: x["l"]), "\n")
     return hit.groupBy(key).agg(joined.alias(text))
+
+
+def files_ready(files: DataFrame, needed: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, ready, missing): whether a workspace has all the files that a stage needs, and those it lacks, in the order asked.
+
+    ``files`` has key and name.
+    """
+    have = files.groupBy(key).agg(F.collect_set(F.when(F.col("name").isin(needed), F.col("name"))).alias("have"))
+    missing = F.array_except(F.array(*[F.lit(x) for x in needed]), "have")
+    return have.select(key, (F.size(missing) == 0).alias("ready"), missing.alias("missing"))
+
+
+def calls_of(log: DataFrame, prefix: str, kind: str = "call_type") -> DataFrame:
+    """The rows of a call log whose kind begins with ``prefix``."""
+    return log.where(F.startswith(kind, F.lit(prefix)))
+
+
+def with_sidecars(blocks: DataFrame, sidecars: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, place, table_ref, char_start, char_end, model): a document's tables in order, with their sidecars' text (null if there is none)."""
+    rows = blocks.where("table_ref is not null").select(key, "table_ref", "char_start", "char_end")
+    number = F.row_number().over(Window.partitionBy(key).orderBy("char_start", "table_ref")) - 1
+    return rows.withColumn("place", number).join(sidecars.select(key, "table_ref", "model"), [key, "table_ref"], "left").select(key, "place", "table_ref", "char_start", "char_end", "model")
+
+
+def prerequisites(docs: DataFrame, needed: DataFrame, optional: dict[str, DataFrame], key: str = "doc_id", what: str = "directory", strict: bool = False) -> DataFrame:
+    """``docs`` with ``has_<what>`` and ``has_<side>`` of each optional side; without what is needed a document goes, or, if strict, the query fails."""
+    rows = docs.join(needed.select(key, F.lit(True).alias(f"has_{what}")).distinct(), key, "left" if strict else "inner")
+    for name, side in optional.items():
+        rows = rows.join(side.select(key, F.lit(True).alias(f"has_{name}")).distinct(), key, "left").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
+    if strict:
+        lacks = F.raise_error(F.concat(F.lit(f"no {what}: "), F.col(key).cast("string"))).cast("boolean")
+        rows = rows.withColumn(f"has_{what}", F.coalesce(F.col(f"has_{what}"), lacks))
+    return rows

@@ -181,3 +181,66 @@ def template_kinds(spark, sf_dir):
     word = F.element_at(F.array(*[F.lit(x) for x in (*_KINDS, "nothing")]), (F.col("doc_id") % (len(_KINDS) + 1) + 1).cast("int"))
     body = F.concat(F.when(F.col("doc_id") % 2 == 0, word).otherwise(""), "text", word)
     return documents(spark, sf_dir).select("doc_id", classify.template_kind(F.lit("Form"), body).alias("k")).select("doc_id", "k.type", F.col("k.confidence").cast("double").alias("confidence"))
+
+
+_FILES = "CASE event_type WHEN 'view' THEN 'content.md' WHEN 'click' THEN 'outline.json' WHEN 'purchase' THEN 'manifest.json' ELSE 'other.txt' END"
+
+
+@query(f"""WITH f AS (SELECT user_id AS doc_id, {_FILES} AS name FROM events), h AS (SELECT doc_id, max(CASE WHEN name = 'content.md' THEN 1 ELSE 0 END) AS a, max(CASE WHEN name = 'outline.json' THEN 1 ELSE 0 END) AS b, max(CASE WHEN name = 'manifest.json' THEN 1 ELSE 0 END) AS c FROM f GROUP BY doc_id)
+SELECT doc_id, a + b + c = 3 AS ready, concat_ws('|', CASE WHEN a = 0 THEN 'content.md' END, CASE WHEN b = 0 THEN 'outline.json' END, CASE WHEN c = 0 THEN 'manifest.json' END) AS missing FROM h""")
+def workspace_ready(spark, sf_dir):
+    name = F.when(F.col("event_type") == "view", "content.md").when(F.col("event_type") == "click", "outline.json").when(F.col("event_type") == "purchase", "manifest.json").otherwise("other.txt")
+    files = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), name.alias("name"))
+    return workspace.files_ready(files, ["content.md", "outline.json", "manifest.json"]).select("doc_id", "ready", F.array_join("missing", "|").alias("missing"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE starts_with(event_type, 'p') OR starts_with(event_type, 'pur')")
+def calls_by_prefix(spark, sf_dir):
+    return workspace.calls_of(table(spark, sf_dir, "events"), "p", "event_type").select("event_id", "event_type")
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS digest, base64(encode(left(coalesce(text, ''), 90))) AS sent FROM documents")
+def digests_and_base64(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", t.sha256_hex(F.col("text")).alias("digest"), t.base64_text(F.left("text", F.lit(90))).alias("sent"))
+
+
+@query("""WITH e AS (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events)
+SELECT event_id, round(epoch_us(next) / 1000000.0::DOUBLE - epoch_us(ts) / 1000000.0::DOUBLE, 2)::DOUBLE AS seconds FROM e WHERE next IS NOT NULL""")
+def call_durations(spark, sf_dir):
+    from pyspark.sql import Window
+
+    ahead = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").withColumn("next", ahead).where("next is not null").select("event_id", t.seconds_between(F.col("ts"), F.col("next")).cast("double").alias("seconds"))
+
+
+@query(f"""WITH {_TABLES} SELECT doc_id, CAST(k AS INTEGER) AS place, table_ref, CASE WHEN (doc_id + k) % 4 <> 0 THEN k * 2 END AS n_rows FROM t WHERE k < 5""")
+def table_sidecars(spark, sf_dir):
+    rows = _tables(spark, sf_dir).where("char_start < 2000")
+    number = F.regexp_extract("table_ref", "t([0-9]+)", 1).cast("int")
+    models = rows.where((F.col("doc_id") + number) % 4 != 0).select("doc_id", "table_ref", F.format_string('{"layout": "grid", "n_rows": %d}', number * 2).alias("model"))
+    found = workspace.with_sidecars(rows, models).withColumn("m", F.from_json("model", "layout string, n_rows bigint"))
+    return found.select("doc_id", F.col("place").cast("int").alias("place"), "table_ref", F.col("m.n_rows").alias("n_rows"))
+
+
+@query("""WITH d AS (SELECT doc_id FROM documents)
+SELECT doc_id, true AS has_directory, doc_id % 3 = 0 AS has_brief, doc_id % 4 = 1 AS has_templates FROM d WHERE doc_id % 5 <> 2""")
+def catalogue_prerequisites(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id")
+    twice = docs.where("doc_id % 3 = 0").unionByName(docs.where("doc_id % 6 = 0"))
+    return workspace.prerequisites(docs, docs.where("doc_id % 5 <> 2"), {"brief": twice, "templates": docs.where("doc_id % 4 = 1")})
+
+
+_HOST, _SHORT = "投标人须知", 40
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), s AS (SELECT doc_id, x, unnest(range(3)) AS segment, CAST(segment * 30 AS BIGINT) AS s, CAST(segment * 30 + CASE WHEN doc_id % 2 = 0 THEN 25 ELSE 45 END AS BIGINT) AS e FROM d),
+c AS (SELECT *, substring(x, s + 1, e - s) AS own, substring(x, s + 1, least(e + 100, length(x)) - s) AS longer FROM s)
+SELECT doc_id, CAST(segment AS INTEGER) AS segment, CASE WHEN doc_id % 3 = 0 AND least(e + 100, length(x)) > e AND length({STRIP.format("own")}) < {_SHORT} AND length({STRIP.format("longer")}) > length({STRIP.format("own")}) THEN longer ELSE own END AS text FROM c""")
+def short_segments_expanded(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    rows = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("segment")).withColumn("s", (F.col("segment") * 30).cast("long"))
+    rows = rows.withColumn("e", F.col("s") + F.when(F.col("doc_id") % 2 == 0, 25).otherwise(45))
+    path = F.array(F.lit("Document"), F.when(F.col("doc_id") % 3 == 0, F.lit(_HOST)).otherwise(F.lit("Other")))
+    segments = rows.select("doc_id", "segment", "s", "e", path.alias("section_path"), F.substring("text", (F.col("s") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int")).alias("text"))
+    none = _tables(spark, sf_dir).where("false").select("doc_id", "char_start", "char_end", "llm_text")
+    return chunking.expand_short(segments, none, docs.withColumnRenamed("text", "content_md"), short=_SHORT, lookahead=100).select("doc_id", "segment", "text")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as t
 from foliant.operators import chunking, merge, model_calls, ranges, tree, workspace
+from foliant.session import checkpoint
 
 #: Lists in an answer, and what their items have.
 ITEMS = {
@@ -62,7 +63,7 @@ def anchored(rows: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "c
 
 def interpret(df: DataFrame, client: Callable, key: str = "doc_id", text: str = "content_md", system: str = "") -> dict[str, DataFrame]:
     """The four kinds of items, merged over segments and anchored, and the calls (answers, attempts, errors)."""
-    found = answers(segments(df, key, text), client, key, system).cache()
+    found = checkpoint(answers(segments(df, key, text), client, key, system))  # a call is paid for once
     scoring = items(found, "scoring", key)
     empty = F.array().cast("array<string>")
     scoring = scoring.select(key, "ord", F.format_string("si-%03d", F.col("ord") + 1).alias("id"), "title", "max_score", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("criteria", F.lit("")).alias("criteria"), t.weight_text(F.coalesce("weight", F.lit(""))).alias("weight"), empty.alias("section_path"), "source_excerpt", "confidence", F.coalesce("children", F.array().cast("array<struct<title:string,criteria:string,source_excerpt:string>>")).alias("children"))
@@ -120,22 +121,20 @@ def legal(df: DataFrame, nodes: DataFrame, client: Callable, words: list[str], k
     return anchored(merge.dedupe_by_title(items_, key, "description"), df, key, text, excerpt)
 
 
-def bid_outline(nodes: DataFrame, client: Callable, key: str = "doc_id", rounds: int = 100) -> DataFrame:
+def bid_outline(nodes: DataFrame, client: Callable, key: str = "doc_id") -> DataFrame:
     """An outline refined chapter by chapter: each round, every document's next pending chapter gets one call whose ``children``
-    become its sections. Resumable: nodes are marked done. Rows: key, ord, node_id, parent_id, title, done."""
-    for _ in range(rounds):
+    become its sections, until no chapter is pending. Resumable: nodes are marked done. Rows: key, ord, node_id, parent_id, title, done."""
+    while True:
         queue = nodes.where("parent_id is null and not done")
         if queue.isEmpty():
-            break
+            return nodes
         ahead = workspace.next_pending(queue, nodes.where("done"), key).withColumnRenamed("node_id", "next_id")
         asked = nodes.join(ahead.withColumnRenamed(key, "k2"), (F.col(key) == F.col("k2")) & (F.col("node_id") == F.col("next_id"))).select(key, "node_id", F.concat(F.lit("CHAPTER\n"), "title").alias("prompt"))
         got = model_calls.call(asked, "prompt", client, key).join(asked.select(key, "node_id"), key)
         kids = got.select(key, "node_id", F.posexplode(F.from_json("answer", "struct<children: array<string>>")["children"]).alias("i", "title"))
         made = kids.select(key, F.col("i").alias("ord"), F.concat_ws("-", "node_id", (F.col("i") + 1).cast("string")).alias("node_id"), F.col("node_id").alias("parent_id"), "title", F.lit(True).alias("done"))
         marked = nodes.join(ahead.withColumnRenamed(key, "k2"), (F.col(key) == F.col("k2")) & (F.col("node_id") == F.col("next_id")), "left").select(key, "ord", "node_id", "parent_id", "title", (F.col("done") | F.col("next_id").isNotNull()).alias("done"))
-        nodes = marked.unionByName(made)
-        nodes = nodes.checkpoint() if nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else nodes
-    return nodes
+        nodes = checkpoint(marked.unionByName(made))
 
 
 def pipeline(df: DataFrame, key: str = "doc_id", text: str = "content_md", max_tokens: int = 20_000) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ import pathlib
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
 
@@ -28,3 +28,29 @@ def ship_code(spark: SparkSession) -> None:
     path.write_bytes(packed.getvalue())
     context.addPyFile(str(path))
     context._foliant_sent = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir`` that driver and executors share.
+
+    Only on one machine (a local master) that names none, as in tests, a temporary folder is used; elsewhere its lack is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if folder is None:
+        found = context._jsc.sc().getCheckpointDir()
+        folder = found.get() if found.isDefined() else None
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="foliant-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so that lost executors don't lose it."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

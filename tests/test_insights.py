@@ -5,8 +5,9 @@ import json
 import sys
 import threading
 
-from foliant.operators import http_client, model_calls, outline, ranges
-from foliant.plans import insights
+import pytest
+from foliant.operators import http_client, model_calls, outline, ranges, workspace
+from foliant.plans import insights, refine
 from foliant.sources import docx, docx_write
 from pyspark import cloudpickle
 from pyspark.sql import Window
@@ -141,3 +142,41 @@ def test_http_client():
     assert c.complete([{"role": "user", "content": "x"}]) == "abc" and c.usage == {"total_tokens": 7}
     assert seen[0][0] == "/v1/chat/completions" and seen[0][2] == "Bearer k"
     server.shutdown()
+
+
+def proposal(nodes, mappings, summary="shorter"):
+    return json.dumps({"outline_refined": {"nodes": [{"node_id": i, "title": x, "level": 1} for i, x in nodes]}, "node_mappings": [{"refined_node_id": r, "source_node_ids": s, "char_start": a, "char_end": b} for r, s, a, b in mappings], "change_summary": summary})
+
+
+def test_refine_rounds(spark):
+    rows = [(d, k, f"n{k}", f"Title {k} of {d}", 1, k * 10, k * 10 + 10) for d in ("one", "two", "three") for k in range(3)]
+    outline = spark.createDataFrame(rows, "doc_id string, ord int, node_id string, title string, level int, char_start long, char_end long")
+    good = proposal([("r1", "First"), ("r2", "Title 2 of one")], [("r1", ["n0", "n1"], 0, 20), ("r2", ["n2"], 20, 30)])
+    gap = proposal([("r1", "First"), ("r2", "Rest")], [("r1", ["n0"], 0, 10), ("r2", ["n2"], 20, 30)])
+    unknown = proposal([("r1", "All")], [("r1", ["n0", "n9"], 0, 30)], "")
+    answers = {"Title 0 of one": good, "Title 0 of two": [unknown, "no json", good], "Title 0 of three": gap}
+
+    def client():
+        from foliant.operators import model_calls
+
+        return model_calls.ScriptedClient(answers, "{}")
+
+    got = refine.refine_round(outline, outline, client, "make it shorter")
+    seen = {r["doc_id"]: r for r in got["preview"].collect()}
+    assert seen["one"]["passed"] and seen["one"]["removed"] == ["Title 0 of one", "Title 1 of one"] and seen["one"]["added"] == ["First"]
+    assert not seen["three"]["passed"] and seen["three"]["problems"] == ["gap: r2"] and seen["three"]["change_summary"] == "shorter"
+    assert not seen["two"]["passed"] and seen["two"]["problems"] == ["unknown source: n9"] and seen["two"]["change_summary"] == "no summary"
+    after = refine.accept(outline, got, spark.createDataFrame([("one",), ("three",)], "doc_id string"))
+    taken = sorted(tuple(r) for r in after.where("doc_id = 'one'").collect())
+    assert taken == [("one", 0, "r1", "First", 1, 0, 20), ("one", 1, "r2", "Title 2 of one", 1, 20, 30)]
+    assert after.where("doc_id <> 'one'").count() == 6
+    loose = refine.refine_round(outline, outline, client, "again", strict=False, retries=0)
+    assert {r["doc_id"] for r in loose["preview"].where("passed").collect()} == {"one", "three"}
+
+
+def test_prerequisites_that_fail(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
+    with pytest.raises(Exception, match="no directory: 2"):
+        workspace.prerequisites(docs, docs.where("doc_id = 1"), {}, strict=True).collect()
+    one = workspace.prerequisites(docs.where("doc_id = 1"), docs, {"brief": docs.limit(0)}, strict=True).collect()
+    assert [tuple(r) for r in one] == [(1, True, False)]
