@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -13,34 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.session import checkpoint, shared_dir
+
 #: Bits of the filter that tells which terms may be looked up; its size doesn't depend on the corpus.
 BITS = 1 << 23
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir`` that driver and executors share.
-
-    Only where the session names none (as in tests on one machine) a temporary folder is used.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if folder is None:
-        found = context._jsc.sc().getCheckpointDir()
-        folder = found.get() if found.isDefined() else None
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that lost executors don't lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again."""
     spark = df.sparkSession

@@ -11,7 +11,8 @@ the others refer to it: the first ids are aggregated per digest before they meet
 join's key is salted, so that many copies of a payload are dealt to many tasks.
 
 Null html is an empty payload; null ids are kept, and never the smallest; a payload that only null ids have is
-all responses. Repeated rows are records each: all with the smallest id are responses. Null urls have no target header.
+all responses. Repeated rows are records each, with identifiers of their own: all with the smallest id are responses. Null urls have
+no target header. An empty table gives no bundle; a payload of any length is one record, in one frame.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import hashlib
 import io
 import struct
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import xxhash
@@ -41,11 +42,15 @@ DATE = "2000-01-01T00:00:00Z"
 BUNDLES = "bundle string, data binary, ids array<string>, frames array<int>, offsets array<long>, lengths array<long>"
 
 
-def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """One WARC record: a response with its payload, or a revisit with the response's header only."""
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, place: str = "0") -> bytes:
+    """One WARC record: a response with its payload, or a revisit with the response's header only.
+
+    Its identifier is the page's and, as pages may be repeated, its own ``place``; a page without an id has the place only.
+    """
+    ident = f"urn:none:{place}" if page_id is None else f"urn:page:{quote(page_id, safe='')}#{place}"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else quote(page_id, safe='')}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{ident}>", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe='/:?#[]@!$&()*+,;=%')}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
@@ -156,7 +161,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    bundle.add(page_id, record(page_id, url, payload.encode("utf-8", "surrogatepass"), digest, refers_to))
+                    bundle.add(page_id, record(page_id, url, payload.encode("utf-8", "surrogatepass"), digest, refers_to, f"{part:06d}-{made:06d}-{len(bundle.index)}"))
                     if bundle.size() >= BUNDLE_BYTES:
                         yield row(bundle)
                         made, bundle = made + 1, Bundle()
@@ -174,8 +179,7 @@ def read(bundles: DataFrame, id_type: str = "long") -> DataFrame:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ident = lambda x: x.removeprefix("<urn:page:").removesuffix(">")
-        from urllib.parse import unquote
+        ident = lambda x: unquote(x.removeprefix("<urn:page:").removesuffix(">").partition("#")[0]) if x.startswith("<urn:page:") else None
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -188,8 +192,8 @@ def read(bundles: DataFrame, id_type: str = "long") -> DataFrame:
                         kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:")
                         if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                             raise ValueError(f"a payload in {name} is damaged")
-                        refers = unquote(ident(headers["WARC-Refers-To"])) if kind == "revisit" else None
-                        out.append((unquote(ident(headers["WARC-Record-ID"])) or None, size, digest, kind, refers, name, *next(places)))
+                        refers = ident(headers["WARC-Refers-To"]) if kind == "revisit" else None
+                        out.append((ident(headers["WARC-Record-ID"]), size, digest, kind, refers, name, *next(places)))
                 columns = list(zip(*out, strict=True))
                 types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)

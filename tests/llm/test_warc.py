@@ -63,3 +63,14 @@ def test_damage_is_found():
 
 def test_empty_table(spark):
     assert warc.read(warc.write(pages(spark).limit(0))).count() == 0
+
+
+def test_identifiers(spark):
+    """Ids may be empty or hold any sign; records have identifiers of their own, repeated rows too."""
+    html = "<p>" + "x" * 200 + "</p>"
+    df = spark.createDataFrame([("", "u", html), ("a#b <c>%", "u", html), (None, "u", html), ("a#b <c>%", "u", html), ("z", None, "short")], "page_id string, url string, html string")
+    bundles = warc.write(df)
+    got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in warc.read(bundles, "string").collect())
+    assert got == [("", "response", "None"), ("None", "revisit", ""), ("a#b <c>%", "revisit", ""), ("a#b <c>%", "revisit", ""), ("z", "response", "None")]
+    names = [h["WARC-Record-ID"] for r in bundles.collect() for e in warc.seek_table(r["data"]) for h, _ in warc.records(warc.frame(r["data"], e))]
+    assert len(set(names)) == 5
