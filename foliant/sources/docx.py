@@ -150,9 +150,10 @@ def parse(data: bytes, promote: bool = True) -> list[dict]:
             if text:
                 level = int(m[1]) if (m := STYLE_LEVEL.match(style)) else None
                 toc = TOC_LEVEL.match(style)
-                by_line = heading_of(text) if promote and val(f"{W}outlineLvl") is not None else None
+                outlined = val(f"{W}outlineLvl")  # 9 is body text
+                by_line = heading_of(text) if promote and outlined is not None and int(outlined) < 9 else None
                 if level is None and by_line:
-                    level = int(val(f"{W}outlineLvl")) + 1
+                    level = int(outlined) + 1
                 if prefix and not re.match(t.LIST_PREFIX.removeprefix("(?U)"), text) and not heading_of(text) and not text.startswith(prefix):
                     text = prefix + text
                 if toc:
@@ -192,17 +193,54 @@ def read(spark: SparkSession, path: str, promote: bool = True) -> DataFrame:
     return from_bytes(spark.read.format("binaryFile").load(path).select("path", "content"), promote)
 
 
+def pdf_blocks(path: str, content: bytes) -> list[dict]:
+    """A PDF file's blocks: a heading, the text and the images of each page."""
+    from foliant.sources import pdf
+
+    out = []
+    for _, page, text, found, _, error in pdf.pages_of(path, content):
+        if page is None:
+            raise ValueError(error)
+        out.append({"block_type": "heading", "level": 2, "text": f"Page {page}"})
+        if text:
+            out.append({"block_type": "paragraph", "text": text})
+        out += [{"block_type": "image", "image_ref": f"images/{x['name']}"} for x in found]
+    return [x | {"block_index": k} for k, x in enumerate(out)]
+
+
+def media(df: DataFrame) -> DataFrame:
+    """(path, rid, target, data): the bytes of the images that Word files (path, content) refer to, by the id that their text uses."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for path, content in zip(files["path"], files["content"], strict=True):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                        links = ET.fromstring(z.read("word/_rels/document.xml.rels"))
+                        for link in links.iter(f"{LINKS}Relationship"):
+                            target = link.get("Target", "")
+                            name = target.removeprefix("/") if target.startswith("/") else f"word/{target}"
+                            if link.get("Type", "/image").endswith("/image") and link.get("TargetMode") != "External" and name in z.namelist():
+                                rows.append((path, link.get("Id"), target, z.read(name)))
+                except Exception:  # such a file has its error among the block rows
+                    rows = []
+                yield pd.DataFrame(rows, columns=["path", "rid", "target", "data"])
+
+    return df.select("path", "content").mapInPandas(run, "path string, rid string, target string, data binary")
+
+
 def from_bytes(df: DataFrame, promote: bool = True) -> DataFrame:
-    """Block rows of files (path, content)."""
+    """Block rows of files (path, content): Word documents, and PDF files page by page."""
     names = [x.split(" ")[0] for x in re.split(r", (?=\w+ (?:string|int|array))", SCHEMA)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
             for path, kind, content in zip(files["path"], files["kind"], files["content"], strict=True):
                 try:
-                    if kind != "docx":
+                    if kind not in ("docx", "pdf"):
                         raise ValueError(f"unsupported type: {kind}")
-                    found = parse(bytes(content), promote)
+                    found = parse(bytes(content), promote) if kind == "docx" else pdf_blocks(path, bytes(content))
                 except Exception as e:  # one file's failure is its row's
                     found = [{"error": f"{type(e).__name__}: {e}"}]
                 yield pd.DataFrame([{n: None for n in names} | {"path": path} | b for b in found], columns=names).astype({"block_index": "Int32", "level": "Int32"}) if found else pd.DataFrame(columns=names)

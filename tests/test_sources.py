@@ -46,14 +46,15 @@ def test_docx_blocks():
 def test_docx_files(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(made(p("Title", "H1"), p("body")))
     (tmp_path / "b.docx").write_bytes(b"no zip")
-    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    (tmp_path / "c.pdf").write_bytes(b"%PDX")
+    (tmp_path / "e.doc").write_bytes(b"old")
     (tmp_path / "d.docx").write_bytes(made())
     got = docx.read(spark, str(tmp_path)).collect()
     by = {}
     for r in got:
         by.setdefault(r["path"].rsplit("/", 1)[1], []).append(r)
     assert [r["text"] for r in by["a.docx"]] == ["Title", "body"] and "d.docx" not in by
-    assert "BadZipFile" in by["b.docx"][0]["error"] and "unsupported type: pdf" in by["c.pdf"][0]["error"]
+    assert "BadZipFile" in by["b.docx"][0]["error"] and "no PDF file" in by["c.pdf"][0]["error"] and "unsupported type: doc" in by["e.doc"][0]["error"]
 
 
 def test_html(spark):
@@ -101,3 +102,21 @@ def test_nothing_else_imports_llm():
     for f in (ROOT / "foliant").rglob("*.py"):
         if "llm" not in f.relative_to(ROOT / "foliant").parts:
             assert not re.search(r"foliant\.llm|from \.+llm", f.read_text()), f
+
+
+def test_image_bytes_and_pdf_blocks(spark):
+    from test_pdf import sample
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://x/image" Target="media/x.PNG"/><Relationship Id="r2" Type="http://x/image" Target="http://far" TargetMode="External"/><Relationship Id="r3" Type="http://x/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("word/media/x.PNG", b"\x89PNG")
+    df = spark.createDataFrame([("a.docx", bytearray(out.getvalue())), ("b.docx", bytearray(b"broken")), ("c.pdf", bytearray(sample()))], "path string, content binary")
+    assert [tuple(r)[:3] + (bytes(r["data"]),) for r in docx.media(df).collect()] == [("a.docx", "r1", "media/x.PNG", b"\x89PNG")]
+    found = sorted((r["block_index"], r["block_type"], r["text"], r["image_ref"]) for r in docx.from_bytes(df).where("path = 'c.pdf'").collect())
+    assert found[0] == (0, "heading", "Page 1", None) and found[2] == (2, "image", None, "images/page-001-img-001.png") and len(found) == 7
+
+
+def test_body_text_level_is_no_heading():
+    b = docx.parse(made(p("1.2 Scope", outline=9), p("1.3 Scope", outline=1)))
+    assert [x["block_type"] for x in b] == ["paragraph", "heading"]
