@@ -5,6 +5,9 @@ Python's Unicode-wide classes are meant by \\s and \\d, hence (?U); lines end at
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +25,9 @@ SECTIONED = r"(?U)^(\d+(?:\.\d+)+)([^\d].+)$"
 DOTTED = r"(?U)^(\d+)\.[ \t]+(.+)$"
 SPACED = r"(?U)^(\d+)[ \t]+(.+)$"
 LIST_PREFIX = r"(?U)^(?:[一二三四五六七八九十百]+|\d+)[、.．]"
+NUMBER_PREFIX = r"(?U)^\d+(?:\.\d+)*[\s、.．]+"
+PARENTHESES = r"[（(][^）)]*[）)]|[（()）]"
+SCORING_TEXT = r"(?U)评分说明|分值|得分|\d+\s*[-~–—]\s*\d+\s*分"
 ENUM_MOST, LINE_MOST, TITLE_MOST = 60, 120, 50
 FILE_TYPES = {".docx": "docx", ".doc": "doc", ".docm": "docm", ".pdf": "pdf"}
 MISSING = "（未提供）"
@@ -78,7 +84,7 @@ def table_ref_comment(ref: Column) -> Column:
 
 def normalize_title(c: Column) -> Column:
     """Without a leading section number, trimmed, in lower case."""
-    return F.lower(strip(F.regexp_replace(strip(c), r"(?U)^\d+(?:\.\d+)*[\s、.．]+", "")))
+    return F.lower(strip(F.regexp_replace(strip(c), NUMBER_PREFIX, "")))
 
 
 def is_list_body(line: Column) -> Column:
@@ -140,15 +146,22 @@ def format_number(n: Column, form: Column) -> Column:
     return F.when(form.isin("chineseCounting", "chineseCountingThousand", "ideographTraditional"), chinese_number(n)).when(form.isin("chineseLegalSimplified", "chineseLegalTenThousand"), legal_number(n)).otherwise(n.cast("string"))
 
 
+@functools.cache
+def _compatible() -> tuple[str, str]:
+    """The letters below U+10000 that compatibility normalisation (NFKC) makes one other letter, and those."""
+    found = [(c, x) for c in map(chr, range(0x80, 0xD800)) if len(x := unicodedata.normalize("NFKC", c)) == 1 and x != c]
+    found += [(c, x) for c in map(chr, range(0xF900, 0xFFF0)) if len(x := unicodedata.normalize("NFKC", c)) == 1 and x != c]
+    return "".join(c for c, _ in found), "".join(x for _, x in found)
+
+
 def wide_to_narrow(c: Column) -> Column:
-    """Full-width ASCII forms and the wide space as their narrow ones."""
-    wide = "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　"
-    return F.translate(c, wide, "".join(chr(x - 0xFEE0) for x in range(0xFF01, 0xFF5F)) + " ")
+    """Full-width forms, the wide space and other letters as the ones that compatibility normalisation makes of them; those it makes several of stay."""
+    return F.translate(c, *_compatible())
 
 
 def loose_title(c: Column) -> Column:
     """For comparing titles: narrow forms, no parentheses nor what they hold, no white space, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(wide_to_narrow(c), r"[（(][^）)]*[）)]|[（()）]", ""), r"(?U)\s+", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(wide_to_narrow(c), PARENTHESES, ""), r"(?U)\s+", ""))
 
 
 def char_jaccard(a: Column, b: Column) -> Column:
@@ -184,7 +197,7 @@ def first_text(*columns: Column) -> Column:
 
 
 def is_scoring_text(c: Column) -> Column:
-    return c.rlike(r"(?U)评分说明|分值|得分|\d+\s*[-~–—]\s*\d+\s*分")
+    return c.rlike(SCORING_TEXT)
 
 
 def is_small_image(size: Column, width: Column, height: Column) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as t
 
+# Fixed value: the title of a requirement that is inferred.
+INFERRED = "推断投标文件组成"
+
 
 def dedupe_by_title(df: DataFrame, key: str = "doc_id", title: Column | str = "title", order: str = "ord", score: list[Column] | None = None) -> DataFrame:
     """Of rows with the same trimmed, lower-cased title, the best one (the first of equals), with ``out_ord``, its title's place.
@@ -66,7 +69,7 @@ def directory(df: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFra
     names = names.withColumn("_flat", F.transform(first, lambda s: s["x"]))
     rows = df.join(names.select(key, "_explicit", F.size("_flat").alias("_n")), key)
     kept = dedupe_by_title(rows.where("(_explicit and not inferred and size(sections) > 0) or (not _explicit and _n = 0)").drop("_explicit", "_n"), key, order=order)
-    made = names.where("not _explicit and size(_flat) > 0").select(key, F.lit(0).alias("out_ord"), F.lit("推断投标文件组成").alias("title"), F.lit(True).alias("inferred"), F.col("_flat").alias("sections"), F.least("_sure", F.lit(0.65)).alias("confidence"))
+    made = names.where("not _explicit and size(_flat) > 0").select(key, F.lit(0).alias("out_ord"), F.lit(INFERRED).alias("title"), F.lit(True).alias("inferred"), F.col("_flat").alias("sections"), F.least("_sure", F.lit(0.65)).alias("confidence"))
     return kept.select(key, "out_ord", "title", "inferred", "sections", "confidence").unionByName(made)
 
 
