@@ -82,3 +82,32 @@ def test_odd_rows(spark):
     assert sorted(str(r["doc_id"]) for r in got if r["query_id"] == 0) == ["0", "0", "300", "None"]
     assert sorted((r["rank"], r["doc_id"]) for r in got if r["query_id"] == 300 and r["rank"] == 1) == [(1, 3), (1, 300)]
     assert search.search(df.limit(0), df.limit(0)).count() == 0 == search.search(df, df.limit(0)).count()
+
+
+def test_few_pairs_are_scored():
+    """On the documents of sf0.1, a hundredth of them as queries: block bounds and rare postings leave a fifth of all pairs at most."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"])
+    ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    asked = [c for i, t in zip(ids, texts, strict=True) if i % 100 == 0 and (c := Counter(search.words_of(t)))]
+    terms = sorted({w for c in asked for w in c})
+    shards, df, length = [], Counter(), 0
+    for at in range(0, len(ids), search.SHARD_DOCS):
+        builder = search.Builder(None)
+        for i, t in zip(ids[at : at + search.SHARD_DOCS], texts[at : at + search.SHARD_DOCS], strict=True):
+            builder.add(i, t)
+        shards.append(builder.shard())
+        df.update(dict(zip(shards[-1].terms, np.diff(shards[-1].starts).tolist(), strict=True)))
+        length += int(shards[-1].lengths.sum())
+    n, place = len(ids), {w: k for k, w in enumerate(terms)}
+    starts, term_of = np.cumsum([0, *map(len, asked)]), np.array([place[w] for c in asked for w in sorted(c)])
+    weights = np.array([c[w] * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for c in asked for w in sorted(c)])
+    best, met = np.zeros((len(asked), 10)), 0
+    for shard in shards:
+        scorer = search.Scorer(shard, terms, length / n)
+        for at in range(0, len(asked), search.QUERIES):
+            own = starts[at : at + search.QUERIES + 1]
+            scorer.best(own - own[0], term_of[own[0] : own[-1]], weights[own[0] : own[-1]], best[at : at + search.QUERIES])
+        met += scorer.met
+    assert met < 0.2 * len(asked) * n
