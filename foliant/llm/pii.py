@@ -26,7 +26,7 @@ import bisect
 import hashlib
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +42,8 @@ GENERALISE = 0.8
 REMOVE = 0.999
 #: Up to so many disclosing terms are sent to all workers as they are; more are met by a join.
 SENT_TERMS = 100_000
+#: Terms whose counts a task adds up at once.
+COUNTED = 500_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -144,7 +146,7 @@ def entity_of(text: str, span: tuple[int, int, int]) -> str:
 
 
 def contexts(text: str | None) -> list[tuple[str, str, int]]:
-    """(entity, term, context) for each base entity and word near it, once for a text; and (entity, "", 0) for each entity."""
+    """(entity, term, context) for each base entity and word near it, once for a text; also (entity, "", 0) for each entity and ("", term, 0) for each word."""
     spans = [s for s in pattern_spans(text) if s[1] < len(BASE)]
     if not spans:
         return []
@@ -165,14 +167,15 @@ def contexts(text: str | None) -> list[tuple[str, str, int]]:
         context = zlib.crc32(" ".join(near).encode("utf-8", "surrogatepass"))
         for w in near:
             found[entity, w] = min(context, found.get((entity, w), context))
+            found["", w] = 0
     return sorted((e, w, c) for (e, w), c in found.items())
 
 
 def disclosing_terms(rows: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, doubt: float = DOUBT) -> DataFrame | None:
     """(term, revealing) of the terms that disclose an entity, from all of ``rows`` (id, text); None if there is none.
 
-    Candidates come from the entities' surroundings. Document counts are taken over all documents, in a
-    pass that emits only words that a filter of fixed size lets by.
+    Candidates come from the entities' surroundings: those that could reach the bound even if they stood nowhere else. Document
+    counts are taken over all documents, in a pass that emits only words that a filter of fixed size lets by, added up by each task.
     """
 
     def near(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -185,27 +188,40 @@ def disclosing_terms(rows: DataFrame, generalise: float = GENERALISE, remove: fl
     seen = map_arrow(rows.select("text"), near, "entity string, term string, context long")
     seen = seen.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     seen = checkpoint(seen.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("n_contexts")))
+    total = float(rows.count())
     trust = F.col("n_contexts") / (F.col("n_contexts") + doubt)
-    pairs = seen.where((F.col("term") != "") & (trust >= generalise - 1e-9))  # no share is above 1
+    share = lambda n_t: F.log(F.col("n_te") * total / (F.col(n_t) * F.col("n_e"))) / F.log(total / F.col("n_e"))
+    pairs = seen.where((F.col("entity") != "") & (F.col("term") != "") & (trust >= generalise - 1e-9))  # no share is above 1
+    n_e = seen.where("term = ''").select("entity", F.col("n_te").alias("n_e")).where(F.col("n_e") < total)
+    n_near = seen.where("entity = ''").select("term", F.col("n_te").alias("n_near"))
+    pairs = pairs.join(n_e, "entity").join(n_near, "term").where(share("n_near") * trust >= generalise - 1e-9)
+    pairs = checkpoint(pairs.select("entity", "term", "n_te", "n_e", "n_contexts"))
     terms = pairs.select("term").distinct()
     bits = filter_bits(terms)
     if not bits.any():
         return None
     sent = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
 
-    def words(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, counts = sent.value, {}
-        for text in batch.column("text").to_pylist():
-            for w in set(WORD.findall(text.lower())) if text else ():
-                if maybe_in(bits, w):
-                    counts[w] = counts.get(w, 0) + 1
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-
-    n_t = map_arrow(rows.select("text"), words, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    n_e = seen.where("term = ''").select("entity", F.col("n_te").alias("n_e"))
-    total = float(rows.count())
-    share = F.log(F.col("n_te") * total / (F.col("n_t") * F.col("n_e"))) / F.log(total / F.col("n_e"))
-    found = pairs.join(n_t, "term").join(n_e, "entity").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") * trust >= generalise - 1e-9)
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            counts.clear()
+            return made
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for text in batch.column(0).slice(at, 512).to_pylist():
+                    for w in set(WORD.findall(text.lower())) if text else ():
+                        if maybe_in(bits, w):
+                            counts[w] = counts.get(w, 0) + 1
+                if len(counts) > COUNTED:
+                    yield out()
+        yield out()
+
+    n_t = rows.select("text").mapInArrow(words, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    found = pairs.join(n_t, "term").withColumn("share", share("n_t")).where(F.col("share") * trust >= generalise - 1e-9)
     told = checkpoint(found.groupBy("term").agg((F.max("share") >= remove - 1e-9).alias("revealing")))
     return None if told.isEmpty() else told
 
