@@ -53,7 +53,7 @@ COMMON = 150
 #: Terms whose counts a task adds up at once.
 COUNTED = 500_000
 #: Queries that are scored together, and pairs of them and documents.
-QUERIES = 128
+QUERIES = 64
 SCORED = 1 << 13
 #: (query, term) pairs that are broadcast at once.
 PAIRS = 600_000
