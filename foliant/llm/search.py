@@ -4,10 +4,10 @@ A shard holds up to SHARD_DOCS documents: their postings, lengths and ids, one r
 ordered by the common term that they have most of, then by length, and cut into blocks; each term's postings are cut at the same
 blocks, and each such cut has the term's largest weight there. For a query, the largest weights of its terms, rare ones and
 common ones, bound every document of a block: a block whose bound can't reach the k-th best score so far is passed over before any of its
-postings is looked at. In the blocks that are left, the postings of rare terms are added up, and a document whose sum, with the block's
-bound for the common terms, can't reach it either is left there; the others are scored in full. This pivot test is
-taken for all blocks and many queries at once; the blocks with the largest bounds come first, and thresholds go on
-from shard to shard of a task. Document counts, the number of documents and their mean length are taken over the whole corpus, so
+postings is looked at. In the blocks that are left, the postings of rare terms are added up, common terms by a float32 product with a bound for its
+error, and a document that can't reach it either is left there; the others are scored in full. This pivot test is
+taken for all blocks and many queries at once, alike queries side by side, so that few terms are rare among them and few blocks are left;
+in a task's first shard the blocks with the largest bounds come first, and thresholds go on from shard to shard. Document counts, the number of documents and their mean length are taken over the whole corpus, so
 scores are the same in any shard, and merging the tasks' best k is exact. Scores are rounded to nine digits before they are compared.
 
 Queries are taken in blocks of bounded size, one after the other: each is sent, held against all shards and its results are written
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,37 +37,49 @@ from pyspark.sql import functions as F
 from foliant.llm.common import checkpoint, filter_bits, map_arrow, maybe_in, shared_dir, table, written
 
 WORDS = re.compile(r"[^\W_]+")
+#: ASCII bytes that are no letters and no digits become spaces; others stay.
+SPACES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS = 8192
 SHARD_POSTINGS = 3_000_000
+#: Words that are counted together, where a text hasn't more.
+WORDS_AT_ONCE = 1 << 16
 #: Documents in a block.
-BLOCK = 4
+BLOCK = 2
 #: Blocks of a query that are scored first, to raise its threshold.
-FIRST = 16
+FIRST = 32
 #: Shards that a task goes through at least, where there are enough for all cores.
 TOGETHER = 8
 #: Terms by which a shard's documents are ordered.
 LEADING = 64
 #: A term is common if queries that have it times documents that have it reach this part of all pairs.
-COMMON = 150
+COMMON = 800
 #: Terms whose counts a task adds up at once.
 COUNTED = 500_000
-#: Queries that are scored together, and pairs of them and documents.
-QUERIES = 64
+#: Queries that are scored together, those whose rare terms are taken together, and pairs of queries and documents scored at once.
+QUERIES = 256
+AT_ONCE = 16
 SCORED = 1 << 13
 #: (query, term) pairs that are broadcast at once.
 PAIRS = 600_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    """The runs of letters and digits (WORDS) of the lower-cased text."""
+    if not text:
+        return []
+    text = text.lower().encode("utf-8", "surrogatepass").translate(SPACES).decode("utf-8", "surrogatepass")
+    found = text.split()
+    if text.isascii() or all(map(str.isalnum, found)):
+        return found
+    return [w for t in found for w in ((t,) if t.isalnum() else WORDS.findall(t))]
 
 
 class Shard:
     """Postings of some documents: sorted terms, and for each its documents (numbers in the shard) and counts."""
 
-    def __init__(self, ids: list, lengths: np.ndarray, terms: list[str], starts: np.ndarray, docs: np.ndarray, counts: np.ndarray):
+    def __init__(self, ids: list, lengths: np.ndarray, terms: list[str] | pa.Array, starts: np.ndarray, docs: np.ndarray, counts: np.ndarray):
         self.ids, self.lengths, self.terms, self.starts, self.docs, self.counts = ids, lengths, terms, starts, docs, counts
 
     def packed(self) -> bytes:
@@ -75,7 +88,7 @@ class Shard:
         return zstandard.ZstdCompressor(level=1).compress(raw)
 
     @classmethod
-    def unpacked(cls, ids: list, terms: list[str], data: bytes) -> Shard:
+    def unpacked(cls, ids: list, terms: list[str] | pa.Array, data: bytes) -> Shard:
         raw, at, parts = zstandard.ZstdDecompressor().decompress(data), 0, []
         for kind in ("<u4", "<u4", "<u2", "<u4"):
             (size,) = struct.unpack_from("<Q", raw, at)
@@ -84,6 +97,21 @@ class Shard:
         return cls(ids, parts[0], terms, parts[1], parts[2], parts[3])
 
 
+class Numbers(dict):
+    """Words to their numbers in a shard, given as they are met; -1 for words that the filter doesn't let by."""
+
+    def __init__(self, bits: bytes | None):
+        self.bits, self.own = bits, []
+
+    def __missing__(self, word: str) -> int:
+        i = -1
+        if self.bits is None or maybe_in(self.bits, word):
+            i = len(self.own)
+            self.own.append(word)
+        self[word] = i
+        return i
+
+
 class Builder:
     """Takes documents; gives a shard when it is full."""
 
@@ -92,45 +120,56 @@ class Builder:
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.lengths, self.term_at, self.flat, self.counts, self.sizes = [], [], {}, [], [], []
+        self.ids, self.lengths, self.term_at, self.postings = [], [], Numbers(self.bits), 0
+        #: Words whose documents, from the ``counted``-th on, aren't counted yet.
+        self.words, self.counted = [], 0
+        #: (document << 32 | term) in order, and the counts.
+        self.keys, self.counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def add(self, doc_id, text: str | None) -> None:
         words = words_of(text)
-        at, bits, flat, counts, before = self.term_at, self.bits, self.flat, self.counts, len(self.flat)
-        for w, n in Counter(words).items():
-            i = at.get(w)
-            if i is None:
-                i = at[w] = len(at) if bits is None or maybe_in(bits, w) else -1
-                if i < 0:
-                    continue
-            if i >= 0:
-                flat.append(i)
-                counts.append(n)
         self.ids.append(doc_id)
         self.lengths.append(len(words))
-        self.sizes.append(len(flat) - before)
+        self.words += words
+        if len(self.words) >= WORDS_AT_ONCE:
+            self.count()
+
+    def count(self) -> None:
+        terms = np.fromiter(map(self.term_at.__getitem__, self.words), np.int64, len(self.words))
+        docs = np.repeat(np.arange(self.counted, len(self.ids)), self.lengths[self.counted :])
+        keys = np.sort((docs << 32 | terms)[terms >= 0])
+        first = np.nonzero(np.diff(keys, prepend=-1))[0]
+        self.keys.append(keys[first])
+        self.counts.append(np.diff(first, append=len(keys)))
+        self.postings += len(first)
+        self.words, self.counted = [], len(self.ids)
 
     def full(self) -> bool:
-        return len(self.ids) >= SHARD_DOCS or len(self.flat) >= SHARD_POSTINGS
+        if self.postings + len(self.words) >= SHARD_POSTINGS:
+            self.count()
+        return len(self.ids) >= SHARD_DOCS or self.postings >= SHARD_POSTINGS
 
     def shard(self) -> Shard:
-        own = sorted(w for w, i in self.term_at.items() if i >= 0)
-        place = np.zeros(len(self.term_at) + 1, np.int64)
-        place[[self.term_at[w] for w in own]] = np.arange(len(own))
-        terms = place[np.array(self.flat, np.int64)]
-        docs, counts = np.repeat(np.arange(len(self.ids)), self.sizes), np.array(self.counts, np.int64)
+        self.count()
+        met, keys, counts = self.term_at.own, np.concatenate(self.keys), np.concatenate(self.counts)
+        sorted_as = sorted(range(len(met)), key=met.__getitem__)
+        own = [met[i] for i in sorted_as]
+        place = np.zeros(len(met), np.int64)
+        place[sorted_as] = np.arange(len(own))
+        docs, terms = keys >> 32, place[keys & 0xFFFFFFFF]
         lengths, df = np.array(self.lengths, np.int64), np.bincount(terms, minlength=len(own))
         # documents that lead with the same common term, and are about as long, stand together: their largest weights say most
         leading = np.full(len(own) + 1, LEADING)
         leading[np.argsort(-df, kind="stable")[:LEADING]] = np.arange(min(LEADING, len(own)))
         some = np.nonzero(leading[terms] < LEADING)[0]
-        some = some[np.lexsort((leading[terms[some]], -counts[some], docs[some]))]
+        first = np.nonzero(np.diff(docs[some], prepend=-1))[0]
         lead = np.full(len(self.ids), LEADING)
-        lead[docs[some[::-1]]] = leading[terms[some[::-1]]]
+        if len(some):
+            lead[docs[some[first]]] = LEADING - 1 - np.maximum.reduceat(counts[some] * LEADING + LEADING - 1 - leading[terms[some]], first) % LEADING
         order = np.lexsort((lengths, lead))
         docs = np.argsort(order)[docs]
         ids = [self.ids[k] for k in order.tolist()]
-        at = np.lexsort((docs, terms))
+        at = np.argsort(terms * len(ids) + docs)
         made = Shard(ids, lengths[order], own, np.concatenate([[0], np.cumsum(df)]), docs[at], counts[at])
         self.clear()
         return made
@@ -190,27 +229,35 @@ def document_counts(shards: DataFrame) -> DataFrame:
 class Scorer:
     """A shard made ready for some queries' terms under the corpus's statistics."""
 
-    def __init__(self, shard: Shard, terms: list[str], mean: float):
-        own = {w: i for i, w in enumerate(shard.terms)}
-        kept = [(k, own[w]) for k, w in enumerate(terms) if w in own]
+    def __init__(self, shard: Shard, terms: list[str] | pa.Array, mean: float):
+        own = pc.index_in(*(x if isinstance(x, pa.Array) else pa.array(x, pa.string()) for x in (terms, shard.terms))).to_numpy(zero_copy_only=False)
+        kept = np.nonzero(own >= 0)[0]
         self.place = np.full(len(terms), -1, np.int64)
-        self.place[[k for k, _ in kept]] = np.arange(len(kept))
-        first = shard.starts[[i for _, i in kept]] if kept else np.zeros(0, np.int64)
-        sizes = shard.starts[[i + 1 for _, i in kept]] - first if kept else np.zeros(0, np.int64)
+        self.place[kept] = np.arange(len(kept))
+        own = own[kept].astype(np.int64)
+        first, sizes = shard.starts[own], shard.starts[own + 1] - shard.starts[own]
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         take = ranges(first, sizes)
         self.docs = shard.docs[take]
         tf = shard.counts[take].astype(float)
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * shard.lengths[self.docs] / mean))
+        self.weight = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * shard.lengths / mean))[self.docs])
         self.n = len(shard.ids)
         self.blocks = -(-self.n // BLOCK)
-        # a term's postings in a block: where they begin, how many they are, and the largest weight
-        block, term = self.docs // BLOCK, np.repeat(np.arange(len(sizes)), sizes)
-        self.cut = np.nonzero(np.diff(term * self.blocks + block, prepend=-1))[0]
-        self.cut_size = np.diff(self.cut, append=len(block))
-        self.cut_block = block[self.cut]
-        self.cut_most = np.maximum.reduceat(self.weight, self.cut) if len(self.cut) else np.zeros(0)
-        self.term_cuts = np.searchsorted(self.cut, self.starts)
+        # a cut is a term's postings in a block: their weights by place in the block, and the largest
+        block = self.docs // BLOCK
+        begins = np.ones(len(block), bool)
+        np.not_equal(block[1:], block[:-1], out=begins[1:])
+        begins[self.starts[:-1]] = True
+        self.cut_block = block[begins]
+        cut_of = np.cumsum(begins) - 1
+        self.cut_weights = np.zeros((BLOCK, len(self.cut_block)))
+        self.cut_weights[self.docs % BLOCK, cut_of] = self.weight
+        self.cut_most = self.cut_weights.max(0)
+        self.term_cuts = np.append(cut_of[self.starts[:-1]], len(self.cut_block))
+        # the postings by documents
+        self.term = np.repeat(np.arange(len(sizes)), sizes)
+        self.by_doc = np.argsort(self.docs.astype(np.uint16), kind="stable")
+        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=self.blocks * BLOCK))])
         #: Pairs of a query and a document whose postings were looked at, and those scored in full.
         self.tested = self.met = 0
 
@@ -220,7 +267,7 @@ class Scorer:
         ``best`` holds each query's best scores so far, the least of them last, and is brought up to date. Terms that many of the queries and
         documents have are columns of a matrix; the others have postings.
         """
-        n_q, width, k = len(starts) - 1, self.blocks * BLOCK, best.shape[1]
+        n_q, k = len(starts) - 1, best.shape[1]
         owner, place = np.repeat(np.arange(n_q), np.diff(starts)), self.place[term_of]
         here = place >= 0
         owner, place, weights = owner[here], place[here], weights[here]
@@ -231,43 +278,89 @@ class Scorer:
         df = self.starts[used + 1] - self.starts[used]
         common = df * np.bincount(local) * COMMON >= n_q * self.n
         rare = ~common[local]
-        asked = np.zeros((n_q, int(common.sum())))
+        columns = used[common]
+        asked = np.zeros((n_q, len(columns)))
         asked[owner[~rare], (np.cumsum(common) - 1)[local[~rare]]] = weights[~rare]
-        has = np.zeros((width, asked.shape[1]))
-        take = ranges(self.starts[used[common]], df[common])
-        has[self.docs[take], np.repeat(np.arange(has.shape[1]), df[common])] = self.weight[take]
+        column = np.full(len(self.starts) - 1, -1)
+        column[columns] = np.arange(len(columns))
+        asked_32 = asked.astype(np.float32)
+        #: No float32 sum of that many products, none negative, is farther off than this.
+        slack = (len(columns) + 16) * 2.0**-23
         # the bounds of all blocks, from the largest weights of all terms
-        n_cuts = self.term_cuts[place[rare] + 1] - self.term_cuts[place[rare]]
-        cut = ranges(self.term_cuts[place[rare]], n_cuts)
-        cut_owner, cut_weight = np.repeat(owner[rare], n_cuts), np.repeat(weights[rare], n_cuts)
-        in_block = cut_owner * self.blocks + self.cut_block[cut]
-        above = asked @ has.reshape(self.blocks, BLOCK, -1).max(1).T * (1 + 1e-9) + 1e-9
-        bound = above + np.bincount(in_block, cut_weight * self.cut_most[cut], n_q * self.blocks).reshape(n_q, self.blocks) * (1 + 1e-9)
-        first = np.zeros((n_q, self.blocks), bool)
-        first[np.arange(n_q)[:, None], np.argsort(-bound, axis=1)[:, :FIRST]] = True
-        for turn in (first, ~first):
+        n_cuts = self.term_cuts[columns + 1] - self.term_cuts[columns]
+        cut = ranges(self.term_cuts[columns], n_cuts)
+        most = np.zeros((len(columns), self.blocks), np.float32)
+        most[np.repeat(np.arange(len(columns)), n_cuts), self.cut_block[cut]] = self.cut_most[cut]
+        bound = ((asked_32 @ most) * (1 + slack)).astype(float) + 1e-9
+        del most
+        # postings of rare terms: some queries at a time, so that they stay in the processor's cache
+        owner, place, weights = owner[rare], place[rare], weights[rare]
+        first_cut = self.term_cuts[place]
+        n_cuts = self.term_cuts[place + 1] - first_cut
+        parts = []
+        for x in range(0, n_q, AT_ONCE):
+            own = slice(*np.searchsorted(owner, [x, x + AT_ONCE]))
+            cut = ranges(first_cut[own], n_cuts[own])
+            in_block = np.repeat((owner[own] - x) * self.blocks, n_cuts[own]) + self.cut_block[cut]
+            weight = np.repeat(weights[own], n_cuts[own])
+            part = bound[x : x + AT_ONCE]
+            part += np.bincount(in_block, weight * self.cut_most[cut], part.size).reshape(part.shape) * (1 + 1e-9)
+            parts.append((x, cut.astype(np.int32), in_block.astype(np.int32), weight))
+        turns = [np.ones((n_q, self.blocks), bool)]
+        if not best.any() and self.blocks > FIRST:
+            turns = [np.zeros((n_q, self.blocks), bool)]
+            np.put_along_axis(turns[0], np.argpartition(-bound, FIRST, axis=1)[:, :FIRST], True, 1)
+            turns.append(~turns[0])
+        at = ranges(self.starts[columns], df[common])
+        of, held, held_weight = np.repeat(np.arange(len(columns)), df[common]), self.docs[at], self.weight[at]
+        for turn in turns:
             least = np.maximum(best[:, -1], 3e-9)
             todo = turn & (bound >= least[:, None])
-            mine = todo.ravel()[in_block]
-            size = self.cut_size[cut[mine]]
-            take = ranges(self.cut[cut[mine]], size)
-            sums = np.bincount(np.repeat(cut_owner[mine] * width, size) + self.docs[take], np.repeat(cut_weight[mine], size) * self.weight[take], n_q * width)
-            sums = sums.reshape(n_q, self.blocks, BLOCK)
-            alive = (sums >= (least[:, None] - above)[:, :, None]) & todo[:, :, None]
-            q, d = np.nonzero(alive.reshape(n_q, width))
+            # the blocks that any query has to look into, side by side
+            blocks = np.nonzero(todo.any(0))[0]
+            if not len(blocks):
+                continue
+            slot = np.full(self.blocks, -1)
+            slot[blocks] = np.arange(len(blocks))
+            width = len(blocks) * BLOCK
+            to = np.where(slot[:, None] >= 0, slot[:, None] * BLOCK + np.arange(BLOCK), -1).ravel()
+            has = np.zeros((len(columns), width), np.float32)
+            in_slot = to[held]
+            in_any = in_slot >= 0
+            has[of[in_any], in_slot[in_any]] = held_weight[in_any]
+            sums = np.empty((n_q, len(blocks), BLOCK))
+            for x, cut, in_block, weight in parts:
+                mine = np.nonzero(todo[x : x + AT_ONCE].ravel()[in_block])[0]
+                at, weight, mine = in_block[mine], weight[mine], cut[mine]
+                at = at // self.blocks * len(blocks) + slot[at % self.blocks]
+                part = sums[x : x + AT_ONCE]
+                for j in range(BLOCK):
+                    part[:, :, j] = np.bincount(at, weight * self.cut_weights[j][mine], part[:, :, 0].size).reshape(part.shape[:2])
             sums = sums.reshape(n_q, width)
-            scores = np.concatenate([np.zeros(0), *(sums[q[at : at + SCORED], d[at : at + SCORED]] + np.einsum("pc,pc->p", asked[q[at : at + SCORED]], has[d[at : at + SCORED]]) for at in range(0, len(q), SCORED))])
+            # a document's bound: its rare terms' sum and the float32 product of its common ones
+            above = asked_32 @ has
+            alive = above * (1 + slack) + sums >= least[:, None] - 1e-8
+            alive &= np.repeat(todo[:, blocks], BLOCK, axis=1)
+            q, u = np.nonzero(alive)
+            # the k-th best of what the documents reach at least is a threshold, too
+            low = above[q, u] * (1 - slack) + sums[q, u]
+            least = np.maximum(least, _merged(best, q, low, k)[:, -1] - 1e-8)
+            stay = above[q, u] * (1 + slack) + sums[q, u] >= least[q] - 1e-8
+            q, u = q[stay], u[stay]
+            d = blocks[u // BLOCK] * BLOCK + u % BLOCK
+            rows, row = np.unique(d, return_inverse=True)
+            size = self.doc_starts[rows + 1] - self.doc_starts[rows]
+            take = self.by_doc[ranges(self.doc_starts[rows], size)]
+            at, to = np.repeat(np.arange(len(rows)), size), column[self.term[take]]
+            exact = np.zeros((len(rows), len(columns)))
+            exact[at[to >= 0], to[to >= 0]] = self.weight[take[to >= 0]]
+            scores = sums[q, u]
+            for x in range(0, len(q), SCORED):
+                scores[x : x + SCORED] += np.einsum("pc,pc->p", asked[q[x : x + SCORED]], exact[row[x : x + SCORED]])
             scores = np.round(scores, 9)
             self.met += len(q)
             self.tested += int(todo.sum()) * BLOCK
-            order = np.lexsort((-scores, q))
-            place_in = np.arange(len(q)) - np.searchsorted(q, q)  # q is sorted
-            new = np.zeros_like(best)
-            top = place_in < k
-            new[q[top], place_in[top]] = scores[order][top]
-            best[:] = -np.partition(-np.concatenate([best, new], 1), k - 1, axis=1)[:, :k]
-            best.sort(axis=1)
-            best[:] = best[:, ::-1]
+            best[:] = _merged(best, q, scores, k)
             stay = scores >= np.maximum(best[q, -1], 1e-9)
             found.append((q[stay], d[stay], scores[stay]))
         q, d, scores = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -275,6 +368,15 @@ class Scorer:
         return q[stay], d[stay], scores[stay]
 
 
+def _merged(best: np.ndarray, q: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k best of ``best`` and of the scores of ``q``, which is sorted; the largest first."""
+    order = np.lexsort((-scores, q))
+    place_in = np.arange(len(q)) - np.searchsorted(q, q)
+    new, top = np.zeros_like(best), place_in < k
+    new[q[top], place_in[top]] = scores[order][top]
+    return -np.sort(-np.concatenate([best, new], 1), axis=1)[:, :k]
+
+
 def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], ..., first[0] + size[0] - 1, first[1], ..."""
     if not len(size):
@@ -323,16 +425,43 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, id_col: str = "d
 
 
 def _block(part: pa.Table) -> tuple:
-    """Queries as (ids, hashes, first pair of each, term numbers, weights) and the terms, sorted. ``part`` is sorted by query."""
+    """Queries as (ids, hashes, first pair of each, term numbers, weights) and the terms, sorted. ``part`` is sorted by query; here, alike queries stand together."""
     part = part.combine_chunks()
     words = part.column("term").to_pylist()
     terms = sorted(set(words))
     at = {w: i for i, w in enumerate(terms)}
     ids, hashes = part.column("query_id").to_pylist(), part.column("query_hash").to_pylist()
     starts = [k for k in range(len(ids)) if k == 0 or (ids[k], hashes[k]) != (ids[k - 1], hashes[k - 1])]
+    sizes, term_of = np.diff([*starts, len(ids)]), np.array([at[w] for w in words], np.int64)
+    weights = part.column("weight").to_numpy()
+    order = alike(np.repeat(np.arange(len(starts)), sizes), term_of, weights, sizes)
+    starts, sizes = np.array(starts, np.int64)[order], sizes[order]
+    take = ranges(starts, sizes)
     first = part.select(["query_id", "query_hash"]).take(pa.array(starts, pa.int64())).combine_chunks()
     owners = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in first.columns]
-    return owners[0], owners[1], np.array([*starts, len(ids)]), np.array([at[w] for w in words], np.int64), part.column("weight").to_numpy(), terms
+    return owners[0], owners[1], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), term_of[take], weights[take], pa.array(terms, pa.string())
+
+
+def alike(owner: np.ndarray, term: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """An order in which queries with the same leading one of their common terms, and of similar size, stand together; leading terms
+    that are often met in the same queries follow each other."""
+    if not len(owner):
+        return np.arange(len(sizes))
+    leading = np.argsort(-np.bincount(term), kind="stable")[:LEADING]
+    place = np.full(term.max() + 1, -1)
+    place[leading] = np.arange(len(leading))
+    some = place[term] >= 0
+    # a word's weight over its least one, that of a query that has it once, is its count
+    counts = np.zeros((len(sizes), len(leading)))
+    counts[owner[some], place[term[some]]] = weights[some]
+    counts /= np.where(counts > 0, counts, np.inf).min(0)
+    together = (counts > 0).T.astype(float) @ (counts > 0)
+    near = together / np.sqrt(np.outer(np.diag(together), np.diag(together)) + 1e-9)
+    rank, at = np.full(len(leading), -1), 0
+    for i in range(len(leading)):
+        rank[at] = i
+        at = np.where(rank < 0, near[at], -1).argmax()
+    return np.lexsort((sizes, rank[counts.argmax(1)]))
 
 
 def _searcher(sent, top: int, mean: float):
@@ -347,7 +476,7 @@ def _searcher(sent, top: int, mean: float):
             id_type = batch.schema.field("ids").type.value_type
             for r in range(batch.num_rows):
                 ids = batch.column("ids")[r].as_py()
-                scorer = Scorer(Shard.unpacked(ids, batch.column("terms")[r].as_py(), batch.column("data")[r].as_py()), terms, mean)
+                scorer = Scorer(Shard.unpacked(ids, batch.column("terms")[r].values, batch.column("data")[r].as_py()), terms, mean)
                 for at in range(0, len(owners), QUERIES):
                     own = starts[at : at + QUERIES + 1]
                     q, d, scores = scorer.best(own - own[0], term_of[own[0] : own[-1]], weights[own[0] : own[-1]], best[at : at + QUERIES])

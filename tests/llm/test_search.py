@@ -111,3 +111,55 @@ def test_few_pairs_are_scored():
             scorer.best(own - own[0], term_of[own[0] : own[-1]], weights[own[0] : own[-1]], best[at : at + search.QUERIES])
         met += scorer.met
     assert met < 0.2 * len(asked) * n
+
+
+def test_alike_queries_make_columns():
+    """Queries dealt out one language after another come to stand together, so fewer terms of a batch are left to postings."""
+    rng = np.random.default_rng(2)
+    words = [[f"{kind}{i}" for i in range(300)] for kind in "abcd"]
+    p = 1 / np.arange(1, 301)
+    texts = [" ".join(rng.choice(words[i % 4], rng.integers(20, 80), p=p / p.sum())) for i in range(400)]
+    asked = [Counter(search.words_of(t)) for t in texts]
+    terms = sorted({w for c in asked for w in c})
+    place = {w: i for i, w in enumerate(terms)}
+    owner = np.repeat(np.arange(400), list(map(len, asked)))
+    term = np.array([place[w] for c in asked for w in sorted(c)])
+    weights = np.array([float(c[w]) for c in asked for w in sorted(c)])
+    order = search.alike(owner, term, weights, np.array(list(map(len, asked))))
+    assert sorted(order.tolist()) == list(range(400))
+    kinds = [texts[i][0] for i in order]
+    assert sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) == 3
+    assert search.alike(owner[:0], term[:0], weights[:0], np.zeros(0, np.int64)).tolist() == []
+
+
+def test_words_are_runs_of_letters_and_digits():
+    for c in range(0x110000):
+        t = f"A{chr(c)}b {chr(c)}Z_"
+        assert search.words_of(t) == search.WORDS.findall(t.lower())
+    assert search.words_of(None) == search.words_of("") == search.words_of(" _,") == []
+
+
+def test_few_postings_are_read():
+    """Of shards of sf0.1, postings are read for few pairs of queries and documents, and few are scored in full."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"])
+    rows = list(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True))
+    asked = [c for i, t in rows if i % 100 == 0 and (c := Counter(search.words_of(t)))]
+    builder = search.Builder(None)
+    for i, t in rows[: search.SHARD_DOCS]:
+        builder.add(i, t)
+    shard = builder.shard()
+    df, n = dict(zip(shard.terms, np.diff(shard.starts).tolist(), strict=True)), len(shard.ids)
+    place = {w: k for k, w in enumerate(shard.terms)}
+    asked = [{w: m for w, m in sorted(c.items()) if w in place} for c in asked]
+    starts, term_of = np.cumsum([0, *map(len, asked)]), np.array([place[w] for c in asked for w in c])
+    weights = np.array([m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for c in asked for w, m in c.items()])
+    scorer, best = search.Scorer(shard, shard.terms, shard.lengths.mean()), np.zeros((len(asked), 10))
+    for _ in range(2):  # the second time with the thresholds of the first
+        scorer.tested = scorer.met = 0
+        for at in range(0, len(asked), search.QUERIES):
+            own = starts[at : at + search.QUERIES + 1]
+            scorer.best(own - own[0], term_of[own[0] : own[-1]], weights[own[0] : own[-1]], best[at : at + search.QUERIES])
+        assert scorer.tested < 0.1 * len(asked) * n
+        assert scorer.met < 0.01 * len(asked) * n
