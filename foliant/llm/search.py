@@ -50,19 +50,21 @@ BLOCK = 2
 #: Blocks of a query that are scored first, to raise its threshold.
 FIRST = 32
 #: Shards that a task goes through at least, where there are enough for all cores.
-TOGETHER = 8
+TOGETHER = 16
 #: Terms by which a shard's documents are ordered.
 LEADING = 64
 #: A term is common if queries that have it times documents that have it reach this part of all pairs.
 COMMON = 800
 #: Terms whose counts a task adds up at once.
 COUNTED = 500_000
-#: Queries that are scored together, those whose rare terms are taken together, and pairs of queries and documents scored at once.
-QUERIES = 256
+#: Queries that are scored together at most, their (query, term) pairs (of several queries), queries whose rare terms are taken together,
+#: and pairs of queries and documents scored at once.
+QUERIES = 512
+ASKED = 120_000
 AT_ONCE = 16
 SCORED = 1 << 13
 #: (query, term) pairs that are broadcast at once.
-PAIRS = 600_000
+PAIRS = 1_200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -254,10 +256,6 @@ class Scorer:
         self.cut_weights[self.docs % BLOCK, cut_of] = self.weight
         self.cut_most = self.cut_weights.max(0)
         self.term_cuts = np.append(cut_of[self.starts[:-1]], len(self.cut_block))
-        # the postings by documents
-        self.term = np.repeat(np.arange(len(sizes)), sizes)
-        self.by_doc = np.argsort(self.docs.astype(np.uint16), kind="stable")
-        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=self.blocks * BLOCK))])
         #: Pairs of a query and a document whose postings were looked at, and those scored in full.
         self.tested = self.met = 0
 
@@ -281,8 +279,6 @@ class Scorer:
         columns = used[common]
         asked = np.zeros((n_q, len(columns)))
         asked[owner[~rare], (np.cumsum(common) - 1)[local[~rare]]] = weights[~rare]
-        column = np.full(len(self.starts) - 1, -1)
-        column[columns] = np.arange(len(columns))
         asked_32 = asked.astype(np.float32)
         #: No float32 sum of that many products, none negative, is farther off than this.
         slack = (len(columns) + 16) * 2.0**-23
@@ -291,21 +287,23 @@ class Scorer:
         cut = ranges(self.term_cuts[columns], n_cuts)
         most = np.zeros((len(columns), self.blocks), np.float32)
         most[np.repeat(np.arange(len(columns)), n_cuts), self.cut_block[cut]] = self.cut_most[cut]
-        bound = ((asked_32 @ most) * (1 + slack)).astype(float) + 1e-9
+        bound = asked_32 @ most
         del most
         # postings of rare terms: some queries at a time, so that they stay in the processor's cache
         owner, place, weights = owner[rare], place[rare], weights[rare]
         first_cut = self.term_cuts[place]
         n_cuts = self.term_cuts[place + 1] - first_cut
-        parts = []
+        parts, rest = [], np.empty(bound.shape)
         for x in range(0, n_q, AT_ONCE):
             own = slice(*np.searchsorted(owner, [x, x + AT_ONCE]))
             cut = ranges(first_cut[own], n_cuts[own])
             in_block = np.repeat((owner[own] - x) * self.blocks, n_cuts[own]) + self.cut_block[cut]
-            weight = np.repeat(weights[own], n_cuts[own])
-            part = bound[x : x + AT_ONCE]
-            part += np.bincount(in_block, weight * self.cut_most[cut], part.size).reshape(part.shape) * (1 + 1e-9)
-            parts.append((x, cut.astype(np.int32), in_block.astype(np.int32), weight))
+            part = rest[x : x + AT_ONCE]
+            part[:] = np.bincount(in_block, np.repeat(weights[own], n_cuts[own]) * self.cut_most[cut], part.size).reshape(part.shape)
+            parts.append((x, own, cut.astype(np.int32), in_block.astype(np.int32)))
+        rest *= 1 + 1e-9
+        rest += 1e-9
+        bound = bound * (1 + slack) + rest
         turns = [np.ones((n_q, self.blocks), bool)]
         if not best.any() and self.blocks > FIRST:
             turns = [np.zeros((n_q, self.blocks), bool)]
@@ -328,33 +326,36 @@ class Scorer:
             in_slot = to[held]
             in_any = in_slot >= 0
             has[of[in_any], in_slot[in_any]] = held_weight[in_any]
-            sums = np.empty((n_q, len(blocks), BLOCK))
-            for x, cut, in_block, weight in parts:
-                mine = np.nonzero(todo[x : x + AT_ONCE].ravel()[in_block])[0]
-                at, weight, mine = in_block[mine], weight[mine], cut[mine]
-                at = at // self.blocks * len(blocks) + slot[at % self.blocks]
-                part = sums[x : x + AT_ONCE]
+            # of these blocks, those that can reach it with their documents' own sums of common terms, in float32
+            above = (asked_32 @ has).reshape(n_q, len(blocks), BLOCK)
+            of_query, of_block = np.nonzero(todo)
+            above = above[of_query, slot[of_block]]
+            stay = above.max(1) * (1 + slack) + rest[of_query, of_block] >= least[of_query]
+            of_query, of_block, above = of_query[stay], of_block[stay], above[stay]
+            number = np.full(n_q * self.blocks, -1, np.int32)
+            number[of_query * self.blocks + of_block] = np.arange(len(of_query))
+            # the postings of rare terms there
+            sums = np.empty((len(of_query), BLOCK))
+            for x, pairs, cut, in_block in parts:
+                own = slice(*np.searchsorted(of_query, [x, x + AT_ONCE]))
+                at = number[x * self.blocks : (x + AT_ONCE) * self.blocks][in_block]
+                mine = np.nonzero(at >= 0)[0]
+                at, weight, mine = at[mine] - own.start, np.repeat(weights[pairs], n_cuts[pairs])[mine], cut[mine]
                 for j in range(BLOCK):
-                    part[:, :, j] = np.bincount(at, weight * self.cut_weights[j][mine], part[:, :, 0].size).reshape(part.shape[:2])
-            sums = sums.reshape(n_q, width)
-            # a document's bound: its rare terms' sum and the float32 product of its common ones
-            above = asked_32 @ has
-            alive = above * (1 + slack) + sums >= least[:, None] - 1e-8
-            alive &= np.repeat(todo[:, blocks], BLOCK, axis=1)
-            q, u = np.nonzero(alive)
+                    sums[own, j] = np.bincount(at, weight * self.cut_weights[j][mine], own.stop - own.start)
+            p, j = np.nonzero(above * (1 + slack) + sums >= least[of_query][:, None] - 1e-8)
             # the k-th best of what the documents reach at least is a threshold, too
-            low = above[q, u] * (1 - slack) + sums[q, u]
-            least = np.maximum(least, _merged(best, q, low, k)[:, -1] - 1e-8)
-            stay = above[q, u] * (1 + slack) + sums[q, u] >= least[q] - 1e-8
-            q, u = q[stay], u[stay]
-            d = blocks[u // BLOCK] * BLOCK + u % BLOCK
+            least = np.maximum(least, _merged(best, of_query[p], above[p, j] * (1 - slack) + sums[p, j], k)[:, -1] - 1e-8)
+            stay = above[p, j] * (1 + slack) + sums[p, j] >= least[of_query[p]] - 1e-8
+            p, j = p[stay], j[stay]
+            q, d, scores = of_query[p], of_block[p] * BLOCK + j, sums[p, j]
             rows, row = np.unique(d, return_inverse=True)
-            size = self.doc_starts[rows + 1] - self.doc_starts[rows]
-            take = self.by_doc[ranges(self.doc_starts[rows], size)]
-            at, to = np.repeat(np.arange(len(rows)), size), column[self.term[take]]
+            to = np.full(self.blocks * BLOCK, -1)
+            to[rows] = np.arange(len(rows))
+            in_row = to[held]
+            mine = np.nonzero(in_row >= 0)[0]
             exact = np.zeros((len(rows), len(columns)))
-            exact[at[to >= 0], to[to >= 0]] = self.weight[take[to >= 0]]
-            scores = sums[q, u]
+            exact[in_row[mine], of[mine]] = held_weight[mine]
             for x in range(0, len(q), SCORED):
                 scores[x : x + SCORED] += np.einsum("pc,pc->p", asked[q[x : x + SCORED]], exact[row[x : x + SCORED]])
             scores = np.round(scores, 9)
@@ -477,11 +478,14 @@ def _searcher(sent, top: int, mean: float):
             for r in range(batch.num_rows):
                 ids = batch.column("ids")[r].as_py()
                 scorer = Scorer(Shard.unpacked(ids, batch.column("terms")[r].values, batch.column("data")[r].as_py()), terms, mean)
-                for at in range(0, len(owners), QUERIES):
-                    own = starts[at : at + QUERIES + 1]
-                    q, d, scores = scorer.best(own - own[0], term_of[own[0] : own[-1]], weights[own[0] : own[-1]], best[at : at + QUERIES])
+                at = 0
+                while at < len(owners):
+                    to = min(at + QUERIES, max(at + 1, int(np.searchsorted(starts, starts[at] + ASKED, "right")) - 1))
+                    own = starts[at : to + 1]
+                    q, d, scores = scorer.best(own - own[0], term_of[own[0] : own[-1]], weights[own[0] : own[-1]], best[at:to])
                     for i, j, x in zip((q + at).tolist(), d.tolist(), scores.tolist(), strict=True):
                         kept[i].append((-x, ids[j] is None, ids[j]))
+                    at = to
                 for i, (rows, least) in enumerate(zip(kept, best[:, -1].tolist(), strict=True)):
                     if len(rows) > 4 * top:
                         kept[i] = _best_of([x for x in rows if -x[0] >= least], top)
